@@ -76,7 +76,8 @@ def label_encode(spark: SparkSession, folder: str) -> DataFrame:
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     train, _ = encode.split(orders, "o_orderkey")
-    return encode.one_hot(orders, encode.category_lists(train, ["o_orderstatus"]))
+    made = encode.one_hot(orders, encode.category_lists(train, ["o_orderstatus"]))
+    return made.select("o_orderkey", *[c for c in made.columns if c != "o_orderkey"])
 
 
 def standardize(spark: SparkSession, folder: str) -> DataFrame:

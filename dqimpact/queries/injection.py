@@ -25,7 +25,8 @@ def _query(name: str, key: str, column: str, role: str, error: str, digits: int
 def _sql(name: str, key: str, column: str, error: str, dirty: str, digits: int | None = None, stats: str = "") -> str:
     value = f"case when u < p then {dirty} else x end"
     value = value if digits is None else sql_rounded(f"({value})", digits)
-    return f"""with s as (select {stats or '1 as one'} from (select {column} as x from {name})),
+    summary = f"select {stats} from (select {column} as x from {name})" if stats else "select 1 as one"
+    return f"""with s as ({summary}),
       r as (select {key} as k, {column} as x, {sql_share(error, column, key)} as u,
              {sql_draw(error, column, key, 'v')} as h2 from {name})
       select k as {key}, p as percentage, {value} as value from r, s, {LEVELS_SQL}"""
@@ -41,7 +42,9 @@ REACH = "((3.0 + h2 / 4294967296.0) * sd)"
 def wrong_labels(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     parts = [
-        inject.wrong_labels(labels, "quality", s.share, "doc_id").withColumn("percentage", F.lit(s.label))
+        inject.wrong_labels(labels, "quality", s.share, "doc_id").select(
+            "doc_id", F.lit(s.label).alias("percentage"), "quality"
+        )
         for s in STEPS
     ]
     whole = parts[0]
