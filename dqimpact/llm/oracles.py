@@ -43,3 +43,19 @@ based as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and lost_chars * 100 <= word_chars * {RULES.max_lost_percent} as kept, n_removed_lines, lost_chars
 from based"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP4 = f"""with recursive d as (select doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') as ws from documents),
+s as materialized (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as x
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from d where len(ws) > 0)),
+size as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b using (x)
+          where a.doc_id <> b.doc_id group by 1, 2),
+links as materialized (select a, b from pairs p join size sa on p.a = sa.doc_id join size sb on p.b = sb.doc_id
+          where 100 * p.n >= 85 * (sa.n + sb.n - p.n)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, coalesce(size.n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from d left join size using (doc_id) left join (select a, min(b) as m from reach group by a) on a = doc_id"""

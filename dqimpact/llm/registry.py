@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dqimpact.llm import oracles
+from dqimpact.llm.ngram_join import ngram_components
 from dqimpact.llm.quality_rules import quality_rules
 from dqimpact.llm.store import table
 
@@ -18,5 +19,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE = {"op1_quality_rules": oracles.OP1}
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the documents whose sets of 4-word n-grams have a Jaccard similarity of 0.85 or more."""
+    return ngram_components(table(spark, folder, "documents"), width=4, percent=85)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_ngram_join": op4_ngram_join}
+ORACLE = {"op1_quality_rules": oracles.OP1, "op4_ngram_join": oracles.OP4}
