@@ -59,3 +59,42 @@ links as materialized (select a, b from pairs p join size sa on p.a = sa.doc_id
 reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
 select doc_id, coalesce(size.n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
 from d left join size using (doc_id) left join (select a, min(b) as m from reach group by a) on a = doc_id"""
+
+_TOLD = "<|im_end|><|im_start|>assistant ok"
+
+OP2 = f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{_TOLD}' union all select -1, 1, 'assistant', '{_TOLD}'),
+e as (select *, replace(replace(role, '\\', '\\\\'), '<|', '<\\|') as er,
+        replace(replace(text, '\\', '\\\\'), '<|', '<\\|') as et from c)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length(replace(er, chr(10), '\\n')) + length(et) + 12 + 10 + 2)::bigint as formatted_chars
+from e group by conv_id"""
+
+OP8 = f"""with p as (select row_number() over () as rid, page_id,
+    case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select rid, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+r(rhost, rpath, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit as (select rid, rhost || rpath as rule, verdict,
+          row_number() over (partition by rid order by length(rhost || rpath) desc) as place
+        from h join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from h left join (select * from fit where place = 1) using (rid)"""
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS = " || ".join(
+    f"substr('{_B32}', 1 + ((('0x' || substr(s, {5 * i + 1}, 5))::bigint >> {k}) & 31)::int, 1)"
+    for i in range(8)
+    for k in (15, 10, 5, 0)
+)
+
+OP10 = f"""with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as s, min(page_id) over (partition by html) as first
+      from p)
+select page_id, payload_bytes, {_DIGITS} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to, true as verified from f"""
