@@ -98,3 +98,26 @@ f as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as s, mi
 select page_id, payload_bytes, {_DIGITS} as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to, true as verified from f"""
+
+_TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_TOKEN}')"
+
+
+OP7 = f"""with d as (select row_number() over () as rid, doc_id, {_tokens('text')} as ws from documents),
+b as (select item_id::varchar as item, ws, least(10, len(ws)) as k
+      from (select item_id, {_tokens('text')} as ws from benchmark) where len(ws) > 0),
+win as (select distinct item, k, array_to_string(ws[i:i + k - 1], ' ') as x
+        from (select item, k, ws, unnest(range(1, len(ws) - k + 2)) as i from b)),
+placed as (select rid, k, i, array_to_string(ws[i:i + k - 1], ' ') as x
+           from (select rid, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) as i
+                 from d, (select distinct k from b))),
+found as materialized (select rid, i, k, item from placed join win using (k, x)),
+hit as (select rid, count(distinct i + j) as n from found, (select unnest(range(0, 10)) as j) where j < k group by rid),
+ids as (select rid, count(*) as n, string_agg(item, ',' order by item) as s
+        from (select distinct rid, item from found) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(ids.n, 0)::bigint as n_items,
+  sha256(coalesce(ids.s, '')) as items_sha256, hit.n is not null as contaminated
+from d left join hit using (rid) left join ids using (rid)"""

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dqimpact.llm import oracles
 from dqimpact.llm.chat_format import conversation_digests, format_conversations
+from dqimpact.llm.decontaminate import contamination, find_passages
+from dqimpact.llm.lm_score import score_documents
+from dqimpact.llm.mixing import mixing_rates
 from dqimpact.llm.ngram_join import ngram_components
+from dqimpact.llm.quality_model import learn, score_quality
 from dqimpact.llm.quality_rules import quality_rules
 from dqimpact.llm.store import shared_folder, table
 from dqimpact.llm.token_files import checksums, read_token_files, write_token_files
@@ -24,6 +30,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Domain posteriors and the rate of every document for the target weights."""
+    return mixing_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of the documents whose sets of 4-word n-grams have a Jaccard similarity of 0.85 or more."""
     return ngram_components(table(spark, folder, "documents"), width=4, percent=85)
@@ -46,6 +57,25 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return checksums(read_token_files(spark, path))
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-entropy difference of every document."""
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document holds of the benchmark."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = contamination(find_passages(docs, table(spark, folder, "benchmark"), keep_text=False))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 #: Host, path and verdict of the rules that the query applies.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -62,6 +92,13 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs, learn(docs, table(spark, folder, "labels")))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Digests and record types of all pages, from the records read back."""
     path = shared_folder(spark, "warc")
@@ -72,15 +109,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_mixing": op3_mixing,
     "op4_ngram_join": op4_ngram_join,
     "op5_token_files": op5_token_files,
+    "op6_lm_score": op6_lm_score,
+    "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_model": op9_quality_model,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_quality_rules": oracles.OP1,
     "op2_chat_format": oracles.OP2,
     "op4_ngram_join": oracles.OP4,
+    "op7_decontamination": oracles.OP7,
     "op8_url_filter": oracles.OP8,
     "op10_warc": oracles.OP10,
 }

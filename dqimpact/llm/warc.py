@@ -85,7 +85,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     named = whole.select("page_id", digest.alias("digest"), "payload")
     held = named.join(first.withColumnRenamed("first_id", "page_id").filter("page_id is not null"), ["digest", "page_id"], "left_semi")
     loose = named.filter("page_id is null").join(first.filter("first_id is null"), "digest", "left_semi")
-    once = held.dropDuplicates(["digest"]).unionByName(loose.dropDuplicates(["digest"]))
+    # Repeated rows of that page_id are equal, and stand in one partition already.
+    once = held.dropDuplicates(["digest", "page_id"]).unionByName(loose.dropDuplicates(["digest"]))
     once.select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
