@@ -32,3 +32,10 @@ def sql_rounded(value: str, digits: int) -> str:
 
 
 LEVELS_SQL = "(select unnest([0.2, 0.4, 0.6, 0.8]::double[]) as p) lv"
+
+
+def groups() -> list:
+    """The modules that register queries."""
+    from dqimpact.queries import cleaning, correlation, injection, sensitivity, warehouse
+
+    return [cleaning, injection, correlation, sensitivity, warehouse]
