@@ -1,4 +1,4 @@
-"""Association between features and a 0/1 target, and between features."""
+"""Association between features and a target, and between features."""
 
 from __future__ import annotations
 
@@ -56,6 +56,8 @@ def _pair_sums(cells: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame
     other = columns.groupBy(*by).agg(
         F.count(F.lit(1)).alias("column_levels"), F.sum(1 / F.col("column_n")).alias("column_inverse")
     )
+    # One row for each table: as many as there are pairs of columns.
+    sides, other = F.broadcast(sides), F.broadcast(other)
     joined = cells.join(rows, [*by, a]).join(columns, [*by, b]).join(sides, by)
     expected = F.col("row_n") * F.col("column_n") / F.col("n_rows")
     gap = F.col("n") - expected
@@ -86,66 +88,56 @@ def cramers_v_of(df: DataFrame, a: str, b: str) -> DataFrame:
     return chi_square(df, a, b).select(v.alias("cramers_v"))
 
 
+NO_VALUE = "None"
+
+
 def _text(schema: T.StructType, column: str) -> Column:
     """Numbers as double text, so that 1 and 1.0 are one level."""
     c = quoted(column)
     return c.cast("double").cast("string") if isinstance(schema[column].dataType, T.NumericType) else c.cast("string")
 
 
+def _level(schema: T.StructType, column: str) -> Column:
+    """Like _text, with a missing text as a level of its own; a missing number stays missing."""
+    text = _text(schema, column)
+    return text if isinstance(schema[column].dataType, T.NumericType) else F.coalesce(text, F.lit(NO_VALUE))
+
+
 def _against_target(df: DataFrame, columns: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, Feature, value, n0, n1): one long table for all listed features, one shuffle."""
-    y = F.col("_y")
+    """(by, Feature, value, y, n): one long table for all listed features, one shuffle."""
     cells = F.array(
         *[F.struct(F.lit(c).alias("Feature"), _text(df.schema, c).alias("value")) for c in columns]
     )
-    long = df.select(*by, quoted(target).cast("double").alias("_y"), F.inline(cells))
-    long = long.filter(F.col("value").isNotNull() & y.isNotNull())
-    return long.groupBy(*by, "Feature", "value").agg(
-        F.count(F.when(y == 0, 1)).alias("n0"), F.count(F.when(y == 1, 1)).alias("n1")
-    )
+    long = df.select(*by, _text(df.schema, target).alias("y"), F.inline(cells))
+    long = long.filter(F.col("value").isNotNull() & F.col("y").isNotNull())
+    return long.groupBy(*by, "Feature", "value", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _categorical_scores(levels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cramer's V and Matthews coefficient per feature from its (value, n0, n1) rows.
+def _categorical_scores(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cramer's V and, where both sides have two levels, the Matthews coefficient of each feature.
 
-    The per-feature totals hold one row per feature and group, a number fixed by the schema.
+    The Matthews coefficient compares levels with classes of the same name.
     """
     keys = [*by, "Feature"]
-    totals = levels.groupBy(*keys).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    both = levels.join(F.broadcast(totals), keys)
-    n0, n1, t0, t1 = (F.col(c).cast("double") for c in ("n0", "n1", "t0", "t1"))
-    n, row = t0 + t1, n0 + n1
-
-    def cell(seen: Column, total: Column) -> Column:
-        expected = row * total / n
-        return F.coalesce(F.try_divide((seen - expected) * (seen - expected), expected), F.lit(0.0))
-
-    number = F.col("value").try_cast("double")
-    agree = F.sum(F.when(number == 0, n0).when(number == 1, n1).otherwise(F.lit(0.0)))
-    cross = F.sum(F.when(number == 0, row * t0).when(number == 1, row * t1).otherwise(F.lit(0.0)))
-    sums = both.groupBy(*keys).agg(
-        F.sum(cell(n0, t0) + cell(n1, t1)).alias("plain"),
-        F.count(F.lit(1)).alias("levels"),
-        F.sum(1 / row).alias("row_inverse"),
-        F.sum(row * row).alias("left2"),
-        agree.alias("agree"),
-        cross.alias("cross"),
-        F.max("t0").alias("t0"),
-        F.max("t1").alias("t1"),
+    sums = _pair_sums(cells, keys, "value", "y")
+    rows = cells.groupBy(*keys, "value").agg(F.sum("n").cast("double").alias("row_n"))
+    classes = cells.groupBy(*keys, "y").agg(F.sum("n").cast("double").alias("class_n"))
+    left2 = rows.groupBy(*keys).agg(F.sum(F.col("row_n") * F.col("row_n")).alias("left2"))
+    right2 = classes.groupBy(*keys).agg(F.sum(F.col("class_n") * F.col("class_n")).alias("right2"))
+    same = cells.groupBy(*keys).agg(F.sum(F.when(F.col("value") == F.col("y"), F.col("n")).otherwise(0)).alias("agree"))
+    met = rows.join(classes.withColumnRenamed("y", "value"), [*keys, "value"])
+    cross = met.groupBy(*keys).agg(F.sum(F.col("row_n") * F.col("class_n")).alias("cross"))
+    whole = sums.join(left2, keys).join(right2, keys).join(same, keys).join(cross, keys, "left")
+    n = F.col("n_rows").cast("double")
+    coefficient = matthews(
+        F.col("agree").cast("double"), n, F.coalesce("cross", F.lit(0.0)), F.col("left2"), F.col("right2")
     )
-    target_levels = F.when((F.col("t0") > 0) & (F.col("t1") > 0), F.lit(2)).otherwise(F.lit(1))
-    inverse = F.try_divide(F.lit(1.0), t0) + F.try_divide(F.lit(1.0), t1)
-    chi2 = F.when(
-        (F.col("levels") == 2) & (target_levels == 2), yates(F.col("plain"), n, F.col("row_inverse"), inverse)
-    ).otherwise(F.col("plain"))
-    return sums.select(
+    two = (F.col("row_levels") == 2) & (F.col("column_levels") <= 2)
+    return whole.select(
         *keys,
-        "levels",
-        cramers_v(chi2, n, F.col("levels"), target_levels).alias("v"),
-        F.when(
-            F.col("levels") == 2,
-            matthews(F.col("agree"), n, F.col("cross"), F.col("left2"), t0 * t0 + t1 * t1),
-        ).alias("mcc"),
+        F.col("row_levels").alias("levels"),
+        cramers_v(F.col("chi2"), n, F.col("row_levels"), F.col("column_levels")).alias("v"),
+        F.when(two, coefficient).alias("mcc"),
     )
 
 
@@ -290,8 +282,8 @@ def cramers_v_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
             F.struct(
                 F.lit(a).alias("Feature1"),
                 F.lit(b).alias("Feature2"),
-                _text(df.schema, a).alias("a"),
-                _text(df.schema, b).alias("b"),
+                _level(df.schema, a).alias("a"),
+                _level(df.schema, b).alias("b"),
             )
             for a, b in pairs
         ]
@@ -313,7 +305,7 @@ def group_mean_variance(df: DataFrame, pairs: Sequence[tuple[str, str]], categor
                 F.lit(a).alias("Feature1"),
                 F.lit(b).alias("Feature2"),
                 quoted(number).cast("double").alias("x"),
-                _text(df.schema, category).alias("g"),
+                _level(df.schema, category).alias("g"),
             )
         )
     keys = ["Feature1", "Feature2"]

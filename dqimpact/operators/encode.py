@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,6 @@ from pyspark.sql import types as T
 from dqimpact.functions.draw import draw, share
 from dqimpact.operators.running import ordered_domain
 
-MAX_CATEGORIES = 1000
-
 
 def label_encode(df: DataFrame, column: str, encoded: str, null_text: str | None = None) -> DataFrame:
     """Replace each value by its 0-based place among the sorted distinct values.
@@ -27,10 +26,22 @@ def label_encode(df: DataFrame, column: str, encoded: str, null_text: str | None
     return keyed.join(codes, F.col("_text") == F.col("value"), "left").drop("_text", "value")
 
 
-def small_domains(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list | None]:
-    """Sorted distinct values per column, or None for a column with more than `limit` of them.
+def _typed(dtype: T.DataType, text: str) -> object:
+    if isinstance(dtype, T.IntegralType):
+        return int(text)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return float(text)
+    if isinstance(dtype, T.DecimalType):
+        return Decimal(text)
+    if isinstance(dtype, T.BooleanType):
+        return text == "true"
+    return text
+
+
+def category_lists(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """Sorted categories per column, for one-hot encoding into as many columns.
 
-    All columns share one long table of distinct values; only short lists reach the driver.
+    The lists become part of the plan; use `one_hot_places` where a column has too many values for that.
     """
     if not columns:
         return {}
@@ -40,39 +51,16 @@ def small_domains(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGO
             for i, c in enumerate(columns)
         ]
     )
-    values = df.select(F.inline(cells)).filter("value is not null").distinct()
-    sizes = values.groupBy("place").agg(F.count(F.lit(1)).alias("size"))
-    short = sizes.filter(F.col("size") <= limit)
-    listed = values.join(F.broadcast(short), "place").groupBy("place", "size").agg(F.collect_list("value").alias("v"))
-    rows = {row["place"]: row for row in sizes.join(listed, ["place", "size"], "left").collect()}
-    found: dict[str, list | None] = {}
-    for i, column in enumerate(columns):
-        if i not in rows:
-            found[column] = []
-        elif rows[i]["v"] is None:
-            found[column] = None
-        else:
-            found[column] = sorted(_typed(df.schema[column].dataType, v) for v in rows[i]["v"])
-    return found
-
-
-def _typed(dtype: T.DataType, text: str) -> object:
-    if isinstance(dtype, T.IntegralType):
-        return int(text)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return float(text)
-    if isinstance(dtype, T.BooleanType):
-        return text == "true"
-    return text
+    found: dict[str, list] = {column: [] for column in columns}
+    for row in df.select(F.inline(cells)).filter("value is not null").distinct().toLocalIterator():
+        column = columns[row["place"]]
+        found[column].append(_typed(df.schema[column].dataType, row["value"]))
+    return {column: sorted(values) for column, values in found.items()}
 
 
-def category_lists(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Categories per column for one-hot encoding; refuses a column with more than `limit`."""
-    lists = small_domains(df, columns, limit)
-    for column, values in lists.items():
-        if values is None:
-            raise ValueError(f"{column} has over {limit} categories: label-encode it or leave it out")
-    return lists
+def one_hot_places(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, place): where each row has its 1 among the sorted values of the column, for any number of them."""
+    return label_encode(df.select(key, column), column, "place").select(key, "place").filter("place is not null")
 
 
 def indicator(column: Column, value: object) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqimpact.functions.draw import SPAN, draw, share
-from dqimpact.operators.encode import MAX_CATEGORIES, small_domains
 from dqimpact.operators.running import ordered_domain
 from dqimpact.sources.config import ROLE_SPELLINGS
 
@@ -137,10 +136,12 @@ def damaged_value(
     key: Key,
     seed: int,
     summary: Summary | None = None,
-    domain: Sequence | None = None,
     token: str = OUTLIER_TOKEN,
 ) -> Column:
-    """What a value becomes when hit.  A missing value stays missing."""
+    """What a value becomes when hit.  A missing value stays missing.
+
+    Noise on categories is not among it: see with_drawn_category.
+    """
     role = ROLE_SPELLINGS.get(role, role)
     c = F.col(f"`{feature}`")
     if error == MISSING:
@@ -148,9 +149,7 @@ def damaged_value(
     if error == LABELS:
         return (1 - c).cast(dtype)
     h2 = draw(key, seed, error, feature, "v")
-    if needs_domain(role, error):
-        value = _other_category(dtype, c, h2, domain)
-    elif (error, role) == (OUTLIER, "categoricalString"):
+    if (error, role) == (OUTLIER, "categoricalString"):
         value = F.lit(token)
     elif (error, role) == (NOISE, "binary"):
         value = F.when(c == summary.low, summary.high).otherwise(summary.low)
@@ -172,18 +171,6 @@ def damaged_value(
     return F.when(c.isNotNull(), value.cast(kept))
 
 
-def _other_category(dtype: T.DataType, c: Column, h2: Column, values: Sequence) -> Column:
-    """Another existing value, each with the same chance.
-
-    One of the first k-1 values is drawn; whoever draws its own value takes the last one.
-    """
-    if len(values) < 2:
-        return c
-    listed = F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(dtype))
-    drawn = F.element_at(listed, (F.pmod(h2, F.lit(len(values) - 1)) + 1).cast("int"))
-    return F.when(drawn == c, F.lit(values[-1]).cast(dtype)).otherwise(drawn)
-
-
 def with_damage(
     df: DataFrame,
     clean: DataFrame,
@@ -193,32 +180,28 @@ def with_damage(
     key: Key,
     seed: int = 42,
     into: str = "_dirty",
-    domain_limit: int = MAX_CATEGORIES,
     token: str = OUTLIER_TOKEN,
 ) -> DataFrame:
     """Add the column `into`: the value each row holds when hit."""
     dtype = df.schema[feature].dataType
-    summary = domain = None
     if needs_domain(role, error):
-        domain = small_domains(clean, [feature], domain_limit)[feature]
-        if domain is None:
-            return with_drawn_category(df, clean, feature, key, seed, into)
-    elif needs_summary(role, error):
-        summary = summarise(clean, feature)
-    return df.withColumn(into, damaged_value(dtype, feature, role, error, key, seed, summary, domain, token))
+        return with_drawn_category(df, clean, feature, key, seed, into)
+    summary = summarise(clean, feature) if needs_summary(role, error) else None
+    return df.withColumn(into, damaged_value(dtype, feature, role, error, key, seed, summary, token))
 
 
 def with_drawn_category(
     df: DataFrame, clean: DataFrame, feature: str, key: Key, seed: int, into: str
 ) -> DataFrame:
-    """Another existing value, for columns with too many values for a list.
+    """Another existing value, each with the same chance, for a column with any number of values.
 
-    The drawn place is looked up in a table.  Places are uniform, so the join has no hot key even
-    when one value fills the column.
+    One of the first k-1 values in sorted order is drawn; whoever draws its own value takes the last
+    one, and a column with one value keeps it.  The drawn place is looked up in a table.  Places are
+    uniform, so the join has no hot key even when one value fills the column.
     """
     c = F.col(f"`{feature}`")
     domain = ordered_domain(clean, feature, "_place")
-    size = domain.agg(F.max("_place")).scalar()
+    size = domain.agg(F.greatest(F.max("_place"), F.lit(1).cast("bigint"))).scalar()
     last = clean.agg(F.max(c)).scalar()
     placed = df.withColumn("_at", F.pmod(draw(key, seed, NOISE, feature, "v"), size))
     joined = placed.join(domain.withColumnRenamed("value", "_drawn"), F.col("_at") == F.col("_place"), "left")

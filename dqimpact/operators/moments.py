@@ -83,7 +83,7 @@ def make_design(train: DataFrame, spec: FeatureSpec, features: Sequence[str] | N
         ).first()
         centre = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(numbers)}
         spread = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(numbers)}
-    lists = category_lists(train, texts, MAX_DESIGN)
+    lists = category_lists(train, texts)
     columns: list[tuple[str, object]] = []
     for c in features:
         columns.extend([(c, v) for v in lists[c]] if c in lists else [(c, None)])

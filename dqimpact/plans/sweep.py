@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from dqimpact.functions.draw import draw
 from dqimpact.functions.stats import classification_scores
 from dqimpact.operators import moments as mm
-from dqimpact.operators.encode import small_domains
 from dqimpact.operators.inject import (
     DUPLICATE,
     ERROR_NAMES,
@@ -62,8 +61,7 @@ def damage_columns(
     """Training rows with the draw and the damaged value of every task, and how to use them."""
     on_feature = [t for t in tasks if t.error not in (LABELS, DUPLICATE)]
     summed = list(dict.fromkeys(t.feature for t in on_feature if needs_summary(t.role, t.error)))
-    listed = list(dict.fromkeys(t.feature for t in on_feature if needs_domain(t.role, t.error)))
-    summaries, domains = summarise_all(train, summed), small_domains(train, listed)
+    summaries = summarise_all(train, summed)
     clean, schema = train, train.schema
     combos, base = [], {}
     added: dict[str, Column] = {}
@@ -76,11 +74,11 @@ def damage_columns(
             share = F.when(F.col(f"`{spec.target}`") == F.lit(task.target_value), share).otherwise(F.lit(1.0))
         added[u] = share
         swaps = task in on_feature
-        if swaps and needs_domain(task.role, task.error) and domains[name] is None:
+        if swaps and needs_domain(task.role, task.error):
             train = with_drawn_category(train, clean, name, key, seed, dirty)
         elif swaps:
             added[dirty] = damaged_value(
-                schema[name].dataType, name, task.role, task.error, key, seed, summaries.get(name), domains.get(name)
+                schema[name].dataType, name, task.role, task.error, key, seed, summaries.get(name)
             )
         same_kind = dict(base.get(task.error, {})) if carry_over else {}
         combos.append(mm.Combo(task.error, name, u, dirty if swaps else None, task.levels, same_kind))

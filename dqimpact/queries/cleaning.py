@@ -80,6 +80,11 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("o_orderkey", *[c for c in made.columns if c != "o_orderkey"])
 
 
+def one_hot_places(spark: SparkSession, folder: str) -> DataFrame:
+    """A column with many values: the place of the 1 instead of a column for each value."""
+    return encode.one_hot_places(table(spark, folder, "orders"), "o_orderkey", "o_custkey")
+
+
 def standardize(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     train, test = encode.split(orders, "o_orderkey")
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "remaining_columns": remaining_columns,
     "label_encode": label_encode,
     "one_hot": one_hot,
+    "one_hot_places": one_hot_places,
     "standardize": standardize,
     "hash_split_counts": hash_split_counts,
     "class_counts": class_counts,
@@ -164,6 +170,7 @@ ORACLE: dict[str, str] = {
     "one_hot": """select o_orderkey, (o_orderstatus = 'F')::int::double as "o_orderstatus_F",
         (o_orderstatus = 'O')::int::double as "o_orderstatus_O",
         (o_orderstatus = 'P')::int::double as "o_orderstatus_P" from orders""",
+    "one_hot_places": "select o_orderkey, dense_rank() over (order by o_custkey) - 1 as place from orders",
     "standardize": f"""with s as (select avg(o_totalprice) m, stddev_pop(o_totalprice) sd from orders
           where not ({_SPLIT} < 0.2))
         select o_orderkey, {sql_rounded('((o_totalprice - m) / sd)', 6)} as o_totalprice

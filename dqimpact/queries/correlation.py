@@ -116,6 +116,29 @@ def target_correlations(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("Feature", "Role", "Type", _values("Correlation"), "relevant")
 
 
+def class_target_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    """A target with four classes."""
+    data = items(spark, folder).withColumn("kind", F.col("l_linenumber") % 4).select("kind", "supplier_group", "l_tax")
+    spec = FeatureSpec("kind", {"continous": ("l_tax",), "categoricalString": ("supplier_group",)})
+    return correlate.target_correlations(data, spec).select("Feature", "Type", _values("Correlation"))
+
+
+GAPPY_SQL = """gappy as (select case when l_suppkey % 5 <> 0 then l_returnflag end as flag,
+  case when l_partkey % 7 <> 0 then l_linestatus end as status, l_quantity from lineitem)"""
+
+
+def null_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing texts are a level of their own."""
+    data = table(spark, folder, "lineitem").select(
+        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_returnflag")).alias("flag"),
+        F.when(F.col("l_partkey") % 7 != 0, F.col("l_linestatus")).alias("status"),
+        "l_quantity",
+    )
+    v = correlate.cramers_v_pairs(data, [("flag", "status")])
+    means = correlate.group_mean_variance(data, [("l_quantity", "flag")], {"flag"})
+    return v.unionByName(means).select("Feature1", "Feature2", _values("Correlation"))
+
+
 def item_target_correlations(spark: SparkSession, folder: str) -> DataFrame:
     found = correlate.target_correlations(items(spark, folder), ITEM_SPEC)
     return found.select("Feature", "Role", "Type", _values("Correlation"), "relevant")
@@ -190,6 +213,8 @@ QUERIES: dict[str, Query] = {
     "group_mean_variance": group_mean_variance,
     "target_correlations": target_correlations,
     "item_target_correlations": item_target_correlations,
+    "class_target_correlations": class_target_correlations,
+    "null_categories": null_categories,
     "pairwise_correlations": pairwise_correlations,
     "numeric_target_correlation": numeric_target_correlation,
     "mutual_information": mutual_information,
@@ -339,6 +364,16 @@ ORACLE: dict[str, str] = {
     "group_mean_variance": f"""with {ITEMS_SQL} select 'l_extendedprice' as "Feature1", 'supplier_group' as "Feature2",
         {_sql_group_variance('items', 'l_extendedprice', 'supplier_group')} as "Correlation" union all
         select 'l_quantity', 'l_linenumber', {_sql_group_variance('items', 'l_quantity', 'l_linenumber')}""",
+    "class_target_correlations": f"""with {ITEMS_SQL},
+        kinds as (select l_linenumber % 4 as kind, supplier_group, l_tax from items)
+        select 'l_tax' as "Feature", '{correlate.POINT_BISERIAL}' as "Type",
+          (select {_sql_corr('l_tax', 'kind')} from kinds) as "Correlation" union all
+        select 'supplier_group', '{CRAMERS_TEXT}', {_sql_v('kinds', 'supplier_group', 'kind')}""",
+    "null_categories": f"""with {GAPPY_SQL}, named as (select coalesce(flag, 'None') as flag,
+          coalesce(status, 'None') as status, l_quantity from gappy)
+        select 'flag' as "Feature1", 'status' as "Feature2", {_sql_v('named', 'flag', 'status')} as "Correlation" union all
+        select 'l_quantity', 'flag', (select {sql_rounded('var_samp(m)', DIGITS)} from
+          (select avg(l_quantity) as m from named group by flag))""",
     "target_correlations": f"with {DOCUMENTS_SQL} "
     + _target_rows(
         "docs",

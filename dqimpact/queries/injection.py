@@ -125,15 +125,21 @@ def _sweep_sql(error: str, carry_over: bool) -> str:
       from w group by feature, p"""
 
 
+def noise_cat_decimal(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories that are decimals: they are drawn in the order of their numbers."""
+    rows = table(spark, folder, "events").select("event_id", F.floor("value").cast("decimal(18,2)").alias("level"))
+    made = inject.inject_levels(rows, "level", "categoricalInteger", "noise", STEPS, "event_id")
+    return made.select("event_id", "percentage", F.col("level").cast("double").alias("value"))
+
+
 QUERIES: dict[str, Query] = {
     "noise_discrete": _query("part", "p_partkey", "p_size", "discrete", "noise"),
     "noise_continuous": _query("events", "event_id", "value", "continous", "noise", 6),
     "noise_binary": _query("labels", "doc_id", "toxic", "binary", "noise"),
     "noise_cat_string": _query("orders", "o_orderkey", "o_orderpriority", "categoricalString", "noise"),
     "noise_cat_int": _query("customer", "c_custkey", "c_nationkey", "categoricalInteger", "noise"),
-    "noise_cat_large": _query(
-        "orders", "o_orderkey", "o_custkey", "categoricalInteger", "noise", domain_limit=50
-    ),
+    "noise_cat_large": _query("orders", "o_orderkey", "o_custkey", "categoricalInteger", "noise"),
+    "noise_cat_decimal": noise_cat_decimal,
     "missing": _query("events", "event_id", "value", "continous", "missing", 6),
     "outlier_discrete": _query("part", "p_partkey", "p_size", "discrete", "outlier"),
     "outlier_continuous": _query("events", "event_id", "value", "continous", "outlier", 4),
@@ -156,6 +162,9 @@ ORACLE: dict[str, str] = {
     "noise_cat_string": _sql("orders", "o_orderkey", "o_orderpriority", "noise", OTHER, None, DOMAIN),
     "noise_cat_int": _sql("customer", "c_custkey", "c_nationkey", "noise", OTHER, None, DOMAIN),
     "noise_cat_large": _sql("orders", "o_orderkey", "o_custkey", "noise", OTHER, None, DOMAIN),
+    "noise_cat_decimal": _sql(
+        "(select event_id, floor(value) as level from events)", "event_id", "level", "noise", OTHER, None, DOMAIN
+    ),
     "missing": _sql("events", "event_id", "value", "missing", "null", 6),
     "outlier_discrete": _sql(
         "part", "p_partkey", "p_size", "outlier",
