@@ -22,6 +22,7 @@ from dqimpact.operators.inject import (
     Level,
     damaged_value,
     hit_share,
+    levels,
     needs_domain,
     needs_summary,
     summarise_all,
@@ -29,7 +30,7 @@ from dqimpact.operators.inject import (
 )
 from dqimpact.operators.metrics import confusion
 from dqimpact.operators.running import running_totals
-from dqimpact.sources.config import FeatureSpec
+from dqimpact.sources.config import Config, FeatureSpec
 from dqimpact.sources.tables import EXPERIMENTS, NO_ERROR
 
 
@@ -45,6 +46,24 @@ class Task:
     target_value: int | None = None
 
 
+def tasks_of(config: Config) -> list[Task]:
+    """The experiments of a config, one task for each feature; label and row errors are one task each.
+
+    An experiment without models of its own takes those of the config.
+    """
+    tasks = []
+    for e in config.experiments:
+        steps = tuple(levels(0.2 if e.step is None else e.step))
+        models = e.models or config.models
+        if e.error in (LABELS, DUPLICATE):
+            one_class = e.error == DUPLICATE and e.case != "all" and e.target_value is not None
+            value = int(float(e.target_value)) if one_class else None
+            tasks.append(Task(e.error, config.spec.target, "target", steps, models, value))
+        else:
+            tasks += [Task(e.error, f, config.spec.role_of(f), steps, models) for f in config.features_for(e)]
+    return tasks
+
+
 @dataclass(frozen=True)
 class Cell:
     """Labels of one scored model."""

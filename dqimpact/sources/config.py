@@ -223,10 +223,24 @@ def model_codes(names: Column) -> Column:
 
 
 def write_configs(configs: DataFrame, path: str) -> None:
-    """Write config rows as JSON, with model names turned into short codes."""
-    configs.withColumn("machineLearningModels", model_codes(F.col("machineLearningModels"))).write.mode(
-        "overwrite"
-    ).json(path)
+    """Write config rows in the form that read_configs reads, with model names as short codes."""
+
+    def given(e: Column) -> Column:
+        return F.struct(
+            e["error"].alias("Errortype"),
+            e["role"].alias("FeatureType"),
+            e["step"].cast("string").alias("Step"),
+            e["features"].alias("FeatureArray"),
+            e["models"].alias("machineLearningModels"),
+            e["case"].alias("case"),
+            e["target_value"].alias("target_value"),
+        )
+
+    coded = configs.withColumn("machineLearningModels", model_codes(F.col("machineLearningModels")))
+    coded.select(
+        *[c for c in coded.columns if c not in ("file", "experiments")],
+        F.transform("experiments", given).alias("Experiments"),
+    ).write.mode("overwrite").json(path)
 
 
 def features_dim(configs: DataFrame) -> DataFrame:
