@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dqimpact.operators import inject
 from dqimpact.operators.encode import split
+from dqimpact.plans import learners
 from dqimpact.plans.sweep import Task, moment_sweep
 from dqimpact.queries import LEVELS_SQL, Query, sql_draw, sql_share
 from dqimpact.queries.correlation import labelled_documents
@@ -77,6 +78,49 @@ def _scored(name: str, log_odds: str) -> str:
         {ratio('tp', 'tp + fp')} as "Precision", {ratio('2 * tp', '2 * tp + fp + fn')} as "F1" from c"""
 
 
-QUERIES: dict[str, Query] = {"nb_sweep": _sweep("nb"), "dummy_sweep": _sweep("dummy")}
+TEXT_SPEC = FeatureSpec("quality", {"discrete": ("n_chars",), "binary": ("toxic",), "categoricalString": ("lang",)})
+
+
+def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = labelled_documents(spark, folder).select("doc_id", "quality", "n_chars", "toxic", "lang")
+    return split(docs, "doc_id")
+
+
+def spark_ml_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """All Spark ML learners on the clean table, and two of them along missing values."""
+    train, test = _halves(spark, folder)
+    tasks = [Task(inject.MISSING, "n_chars", "discrete", STEPS[1::2], ("lr", "dt"))]
+    return learners.ml_sweep(train, test, TEXT_SPEC, tasks, "doc_id", "documents", tuple(learners.NAMES))
+
+
+def l1_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return learners.l1_importance(_halves(spark, folder)[0], TEXT_SPEC, "doc_id")
+
+
+def rf_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return learners.forest_importance(_halves(spark, folder)[0], TEXT_SPEC, "doc_id")
+
+
+def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return learners.permutation_importance(*_halves(spark, folder), SPEC, "doc_id", "dt", repeats=2)
+
+
+def importance_stability(spark: SparkSession, folder: str) -> DataFrame:
+    return learners.importance_stability(permutation_importance(spark, folder))
+
+
+# The learners of Spark ML, and the models beyond naive Bayes, are not expressed in SQL.
+QUERIES: dict[str, Query] = {
+    "nb_sweep": _sweep("nb"),
+    "dummy_sweep": _sweep("dummy"),
+    "lda_sweep": _sweep("lda"),
+    "qda_sweep": _sweep("qda"),
+    "ridge_sweep": _sweep("ridge"),
+    "spark_ml_sweep": spark_ml_sweep,
+    "l1_importance": l1_importance,
+    "rf_importance": rf_importance,
+    "permutation_importance": permutation_importance,
+    "importance_stability": importance_stability,
+}
 
 ORACLE: dict[str, str] = {"nb_sweep": _scored("GaussianNB", _NB), "dummy_sweep": _scored("DummyClassifier", "ln(n)")}
