@@ -172,4 +172,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: Rules = Rules()) ->
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "lost_chars",
         "cleaned_text", "base_failed", "kept",
     ]
-    return df.select(*[c for c in kept_as if c not in made], *made)
+    whole_row = df.select(*[c for c in kept_as if c not in made], *made)
+    # A filter on a verdict must not be moved below: it would repeat, for every use of a column, all that
+    # the column is made of.  What a generator gives out stays above it.
+    return whole_row.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in whole_row.columns]))))
