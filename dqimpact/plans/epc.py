@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqimpact.functions.stats import pearson, positive_zero
-from dqimpact.operators.running import running_totals
 from dqimpact.sources.tables import NO_ERROR
 
 SERIES = ["datasetName", "errorType", "feature", "modelName"]
@@ -87,12 +86,13 @@ def _spread() -> Column:
 def epc_at(results: DataFrame, metric: str = "Accuracy") -> DataFrame:
     """EPC over each prefix of each series, from its second point on.
 
-    The prefix sums are running totals, so a series of any length is shared among tasks.
+    A series has as many points as its experiment has levels, so a window over it is short.
     """
     points = _anchored(series_points(results, [metric]), metric)
-    order = ["percentage", "later", "score"]
     ordered = points.withColumn("later", 1 - F.col("from_clean"))
-    running = running_totals(ordered, SERIES, order, _sums(F.col("x"), F.col("y")), inclusive=True)
+    prefix = Window.partitionBy(*SERIES).orderBy("percentage", "later", "score")
+    prefix = prefix.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ordered.select("*", *[F.sum(v).over(prefix).alias(c) for c, v in _sums(F.col("x"), F.col("y")).items()])
     judged = running.join(_whole(points), SERIES).filter("n > 1")
     value = _minus_pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     return judged.select(*SERIES, "percentage", _reported(value, _spread()).alias("epc_at"))
