@@ -13,9 +13,13 @@ tokenizers of which this does not hold.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 END_ID = 2
-# Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+# Words, and pieces of words, whose ids a task remembers: the first it meets.
+REMEMBERED = 300_000
 
 
 @dataclass(frozen=True)
@@ -49,28 +53,78 @@ class OrcLayout:
         }
 
 
+# Words of these characters alone are split as the tokenizer splits them: runs of letters, single digits,
+# runs of other marks.  Words with an apostrophe, a special token or other characters are left to it whole.
+_PLAIN = re.compile(r"(?!.*<\|)[!-&(-~à-öø-ÿ]+", re.S)
+_PIECES = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Letters beyond ASCII as a byte-level model has them: a character for each byte of UTF-8.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in order.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    character = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(character[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
+
+
 def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to their ids, for use inside one task."""
-    from tokenizers import Tokenizer
+    """A function from texts to their ids, for use inside one task.
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, np.ndarray] = {}
+    What it remembers are words as they stand in texts and the pieces that they are made of, so that a
+    word met for the first time mostly is put together from known pieces.
+    """
+    # A task has one core; threads of its own would only cost memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    # This code travels by value and is new in every task; what a worker process has learned stays with
+    # the library, which is not.
+    remembered = tokenizers.__dict__.setdefault("_remembered", {})
+    if path not in remembered:
+        remembered[path] = tokenizers.Tokenizer.from_file(path), {}, {}
+    tokenizer, words_known, pieces_known = remembered[path]
+    model, as_bytes = tokenizer.model, _byte_characters()
 
     def whole(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def of_piece(piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.translate(as_bytes)
+        return array("i", [token.id for token in model.tokenize(spelled)]).tobytes()
+
+    def of_words(fresh: list[bytes]) -> dict[bytes, bytes]:
+        plain: dict[bytes, list[str]] = {}
+        other: list[bytes] = []
+        for word in fresh:
+            lower = word.decode().lower()
+            if _PLAIN.fullmatch(lower):
+                plain[word] = _PIECES.findall(lower)
+            else:
+                other.append(word)
+        unknown = {p for pieces in plain.values() for p in pieces}.difference(pieces_known)
+        made = {piece: of_piece(piece) for piece in unknown}
+        if len(pieces_known) < REMEMBERED:
+            pieces_known.update(made)
+            made = pieces_known
+        else:
+            made.update((p, pieces_known[p]) for p in {p for pieces in plain.values() for p in pieces}.difference(made))
+        found = {word: b"".join([made[p] for p in pieces]) for word, pieces in plain.items()}
+        found.update((w, ids.tobytes()) for w, ids in zip(other, whole([w.decode() for w in other]), strict=True))
+        return found
+
     def encode(texts: list[str]) -> list[np.ndarray]:
         split = [text.encode().split() for text in texts]
-        fresh = {word for words in split for word in words}.difference(known)
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = {word for words in split for word in words}
-        order = list(fresh)
-        for start in range(0, len(order), 10_000):
-            part = order[start : start + 10_000]
-            known.update(zip(part, whole([word.decode() for word in part]), strict=True))
-        none = np.empty(0, np.int32)
-        return [np.concatenate([known[word] for word in words]) if words else none for words in split]
+        met = set(chain.from_iterable(split))
+        known = of_words(list(met.difference(words_known)))
+        if len(words_known) < REMEMBERED:
+            words_known.update(known)
+            known = words_known
+        else:
+            known.update((word, words_known[word]) for word in met.intersection(words_known))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     return encode if by_words else whole
 
