@@ -4,12 +4,14 @@ The n-grams of all documents have one global order, rare ones first.  Two sets t
 must share at least `l` of the first `size - t + l` members of each, for every l.  A document picks its
 own l, its level: a longer prefix costs more list entries, but a partner must then meet it more often
 before the pair is verified.  The estimate of both costs comes from counts of all n-grams of the corpus,
-held in a fixed number of buckets; it steers the work and never the result.  A pair is verified when it
-shares at least the lower of the two levels.
+held in a fixed number of buckets; it steers the work and never the result.  The smaller set of a pair
+must have most of its members in common with any larger one, so its prefix may be shorter still.  A pair
+is verified when it shares so many prefix members that the rest could make up for what is missing: the
+lower of the two levels at least, and more for sets of like size.
 
 Documents with equal sets fall into one class first.  Then links are sought where they are cheap: each
-class is held against the class of highest degree among its lists, and the components of the links
-found are labelled.  A list whose members are all in one component needs no more work.  For the others
+class is held against two leaders, the class of highest degree among its lists and one picked by a draw,
+and the components of the links found are labelled.  A list whose members are all in one component needs no more work.  For the others
 every pair of members from different components is counted and, if it shares enough, verified, so that
 no link between components is lost while a group of near copies never expands into all its pairs.
 A list with very many entries is dealt over several tasks by a salt.
@@ -38,6 +40,8 @@ LEVELS = 8
 VERIFY_COST = 20.0
 # Entries of a list that one task may get before the list is salted.
 HOT_LIST = 5_000
+# Bits of the place in a prefix, below the class of frequency.
+RANK_BITS = 40
 
 
 def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -95,7 +99,10 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, salt, key, n, level: the prefix of every class, at least once for each task that holds it."""
+    """token, salt, key, n, level, rank: the prefix of every class, at least once for each task that holds it.
+
+    `rank` has the token's class of frequency above its place in the prefix, which counts from 0.
+    """
     decoded = np.exp2(np.arange(256) / 4.0) - 1.0
     # What other n-grams add to a bucket on average is no sign of a frequent one.
     floor = float(decoded[counts].mean())
@@ -107,7 +114,7 @@ def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
         excess = np.maximum(decoded - floor, 0.0)
         seen: set[int] = set()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for _, text in _texts(batch):
                 found = shingle_set(text, width, hashes)
                 n = len(found)
@@ -129,20 +136,22 @@ def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
                 order, entries = order[: base + level], entries[: base + level]
                 tokens = found[order].view(np.int64)
                 spread = (entries // HOT_LIST).astype(np.int64)
-                for made, value in zip(
-                    parts, (tokens, (key & 0xFFFFFFFF) % (spread + 1) + (spread > 0), key, n, level), strict=True
-                ):
+                salt = (key & 0xFFFFFFFF) % (spread + 1) + (spread > 0)
+                rank = (frequency[order].astype(np.int64) << RANK_BITS) + np.arange(len(tokens))
+                row = (tokens, salt, key, n, level, rank)
+                for made, value in zip(parts, row, strict=True):
                     made.append(value if isinstance(value, np.ndarray) else np.full(len(tokens), value, np.int64))
             if parts[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(p)) for p in parts], names=["token", "salt", "key", "n", "level"]
+                    [pa.array(np.concatenate(p)) for p in parts],
+                    names=["token", "salt", "key", "n", "level", "rank"],
                 )
 
-    return docs.mapInArrow(prefixes, "token long, salt long, key long, n long, level long")
+    return docs.mapInArrow(prefixes, "token long, salt long, key long, n long, level long, rank long")
 
 
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, node, n, level of the lists that hold two classes or more, without repeats.
+    """token, node, twice, n, level, rank of the lists that hold two classes or more, without repeats.
 
     A salted list (salt 1 or more) is known to be long and kept as it is.
     """
@@ -150,13 +159,13 @@ def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
     kept = (
         postings.withColumns({"_low": F.min("key").over(mates), "_high": F.max("key").over(mates)})
         .filter("salt > 0 or _low <> _high")
-        .select("token", "key", "n", "level")
+        .select("token", "key", "n", "level", "rank")
     )
-    return kept.join(classes, "key").select("token", "node", "n", "level").distinct()
+    return kept.join(classes, "key").select("token", "node", "twice", "n", "level", "rank").distinct()
 
 
 def _sets(docs: DataFrame, width: int, active: DataFrame) -> DataFrame:
-    """node, hashes of all classes that share a list; a few others may be among them."""
+    """node, hashes of the classes in `active`; a few others may be among them."""
 
     def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
@@ -220,21 +229,74 @@ def _star_pairs(lists: DataFrame, rank: Column, percent: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
 
 
+def _at_least(part: Column, whole: int, percent: int) -> Column:
+    """part * percent / whole, rounded up."""
+    return F.floor((part * percent + (whole - 1)) / whole)
+
+
+def _with_bounds(lists: DataFrame, percent: int) -> DataFrame:
+    """Add degree, end and cap of each node to its entries.
+
+    `end` is the node's last entry in the global order.  Members up to there that stand in no list are in
+    no other prefix; a partner whose entries end no earlier lacks all of them, and can be linked only if
+    its size is `cap` at most.
+    """
+    place = F.col("rank").bitwiseAND(F.lit((1 << RANK_BITS) - 1))
+    # Tokens are unsigned; with the first bit turned they are in order as signed numbers.
+    order = F.struct(F.shiftright("rank", RANK_BITS).alias("c"), F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("t"))
+    nodes = lists.groupBy("node").agg(
+        F.count(F.lit(1)).alias("degree"), F.max(order).alias("end"), F.max(place).alias("_place"),
+        F.max("n").alias("_n"), F.max("twice").alias("_twice"),
+    )
+    alone = F.when(F.col("_twice"), 0).otherwise(F.greatest(F.col("_place") + 1 - F.col("degree"), F.lit(0)))
+    cap = F.floor((F.col("_n") - alone) * (100 + percent) / percent) - F.col("_n")
+    cap = F.when(F.col("_twice"), F.lit((1 << 62))).otherwise(cap)
+    bounds = nodes.select("node", "degree", "end", cap.cast("long").alias("cap"))
+    return lists.withColumn("place", place).drop("rank", "twice").join(bounds, "node")
+
+
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that share at least the lower of their levels."""
-    spread = lists.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    open_lists = lists.join(spread.filter("_low <> _high").select("token"), "token")
-    held = open_lists.select("token", "component").distinct()
-    other = held.select("token", F.col("component").alias("other"))
-    facing = held.join(other, "token").filter("component < other")
-    left = open_lists.select("token", "component", F.col("node").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))
-    right = open_lists.select(
-        "token", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb")
+    """Pairs from different components that share enough of their prefixes; a is the smaller set.
+
+    A set of n members has in common with a larger one, if they are linked, at least 2p / (100 + p) of
+    its n members, and with a smaller one p / 100 of them.  What lies behind a prefix bounds what the
+    prefixes may lack in common.  Before members of a list meet, those go that fit no other member of it
+    by size, and lists that are then left with one component.
+    """
+    both = 100 + percent
+    order = Window.partitionBy("token")
+    up = order.orderBy("end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = order.orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = (F.min("n").over(down) <= F.col("cap")) | (F.col("n") <= F.max("cap").over(up))
+    lists = lists.withColumn("_fits", fits).filter("_fits").drop("_fits")
+    # The component with most entries in a list never meets itself there.
+    sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    spread = sizes.groupBy("token").agg(
+        F.max(F.struct("m", "component"))["component"].alias("_main"), F.count(F.lit(1)).alias("_parts")
     )
-    met = facing.join(left, ["token", "component"]).join(right, ["token", "other"])
-    met = met.filter(_fits(F.col("na"), F.col("nb"), percent))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.least("la", "lb")).alias("asked"))
-    return counted.filter("times >= asked").select("a", "b")
+    lists = lists.join(spread.filter("_parts > 1"), "token")
+    lists = stored(lists.withColumn("main", F.col("component") == F.col("_main")).drop("_main", "_parts"), "open")
+
+    rest = _at_least(2 * F.col("n"), both, percent) - F.col("level")
+    small = lists.withColumn("rest", rest).filter(F.col("place") < F.col("n") - F.col("rest"))
+    large = lists.withColumn("rest", _at_least(F.col("n"), 100, percent) - F.col("level"))
+    names = ("node", "component", "main", "n", "rest", "end", "cap")
+    left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = large.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
+
+    a, b = F.col("n_a"), F.col("n_b")
+    ordered = (a < b) | ((a == b) & (F.col("node_a") < F.col("node_b")))
+    room = F.when(F.col("end_a") <= F.col("end_b"), b <= F.col("cap_a")).otherwise(a <= F.col("cap_b"))
+    apart = F.col("component_a") != F.col("component_b")
+    keys = ["node_a", "node_b", "n_a", "n_b", "rest_a", "rest_b"]
+
+    def met(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.join(second, "token").filter(apart & ordered & _fits(a, b, percent) & room).select(*keys)
+
+    pairs = met(left.filter("not main_a"), right).unionByName(met(left.filter("main_a"), right.filter("not main_b")))
+    counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    enough = F.col("times") >= _at_least(a + b, both, percent) - F.greatest("rest_a", "rest_b")
+    return counted.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,22 +316,24 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, text: s
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     whole = docs.filter("doc_id is not null")
     rows = stored(_classes(docs, width), "classes")
-    groups = stored(
-        rows.filter("n > 0 and doc_id is not null").groupBy("key", "digest").agg(F.min("doc_id").alias("node")), "groups"
-    )
+    groups = rows.filter("n > 0 and doc_id is not null").groupBy("key", "digest").agg(F.min("doc_id").alias("node"))
+    # A doc_id that stands for two different sets is one node, of which no bound is sure.
+    twice = F.count(F.lit(1)).over(Window.partitionBy("node")) > 1
+    groups = stored(groups.withColumn("twice", twice), "groups")
     counts = _corpus_counts(whole, width)
-    lists = _shared_lists(_postings(whole, width, percent, counts), groups.select("key", "node"))
-    lists = stored(lists, "lists").withColumn("component", F.col("node"))
-    degrees = lists.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    lists = stored(lists.join(degrees, "node"), "lists")
-    sets = stored(_sets(whole, width, degrees), "sets")
-
-    links = stored(_verified(_star_pairs(lists, F.col("degree"), percent), sets, percent), "found")
-    lists = stored(_labelled(lists, links), "lists")
-    more = stored(_verified(_star_pairs(lists, F.xxhash64("node"), percent), sets, percent), "found")
-    links = links.unionByName(more)
-    lists = stored(_labelled(lists, links), "lists")
-    more = stored(_verified(_cross_pairs(lists, percent), sets, percent), "found")
+    lists = _shared_lists(_postings(whole, width, percent, counts), groups.select("key", "node", "twice"))
+    lists = _with_bounds(stored(lists, "lists"), percent).withColumn("component", F.col("node"))
+    lists = stored(lists, "bounded")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return stored(_verified(pairs, stored(_sets(whole, width, nodes), "sets"), percent), "found")
+
+    # Two leaders for each node: the hub of its lists, and one that a draw picks, for groups apart from the hub.
+    stars = _star_pairs(lists, F.col("degree"), percent).unionByName(_star_pairs(lists, F.xxhash64("node"), percent))
+    links = linked(stars.distinct())
+    more = linked(_cross_pairs(stored(_labelled(lists, links), "lists"), percent))
 
     labels = components(links.unionByName(more))
     named = groups.join(labels, "node", "left").select(
