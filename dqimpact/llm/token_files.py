@@ -19,7 +19,6 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql.window import Window
 
 END_ID = 2
 # Words, and pieces of words, whose ids a task remembers: the first it meets.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 @dataclass(frozen=True)
@@ -70,6 +69,20 @@ def _byte_characters() -> dict[int, str]:
     return {c: "".join(character[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
 
 
+class Remembered(dict):
+    """Values made at the first request; the first ones stay, up to a bound."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < REMEMBERED:
+            self[key] = value
+        return value
+
+
 def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list[np.ndarray]]:
     """A function from texts to their ids, for use inside one task.
 
@@ -80,14 +93,6 @@ def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
-    # This code travels by value and is new in every task; what a worker process has learned stays with
-    # the library, which is not.
-    remembered = tokenizers.__dict__.setdefault("_remembered", {})
-    if path not in remembered:
-        remembered[path] = tokenizers.Tokenizer.from_file(path), {}, {}
-    tokenizer, words_known, pieces_known = remembered[path]
-    model, as_bytes = tokenizer.model, _byte_characters()
-
     def whole(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -95,37 +100,26 @@ def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list
         spelled = piece if piece.isascii() else piece.translate(as_bytes)
         return array("i", [token.id for token in model.tokenize(spelled)]).tobytes()
 
-    def of_words(fresh: list[bytes]) -> dict[bytes, bytes]:
-        plain: dict[bytes, list[str]] = {}
-        other: list[bytes] = []
-        for word in fresh:
-            lower = word.decode().lower()
-            if _PLAIN.fullmatch(lower):
-                plain[word] = _PIECES.findall(lower)
-            else:
-                other.append(word)
-        unknown = {p for pieces in plain.values() for p in pieces}.difference(pieces_known)
-        made = {piece: of_piece(piece) for piece in unknown}
-        if len(pieces_known) < REMEMBERED:
-            pieces_known.update(made)
-            made = pieces_known
-        else:
-            made.update((p, pieces_known[p]) for p in {p for pieces in plain.values() for p in pieces}.difference(made))
-        found = {word: b"".join([made[p] for p in pieces]) for word, pieces in plain.items()}
-        found.update((w, ids.tobytes()) for w, ids in zip(other, whole([w.decode() for w in other]), strict=True))
-        return found
+    def of_word(word: bytes) -> bytes:
+        text = word.decode()
+        lower = text.lower()
+        if _PLAIN.fullmatch(lower):
+            return b"".join(map(pieces.__getitem__, _PIECES.findall(lower)))
+        return array("i", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [text.encode().split() for text in texts]
-        met = set(chain.from_iterable(split))
-        known = of_words(list(met.difference(words_known)))
-        if len(words_known) < REMEMBERED:
-            words_known.update(known)
-            known = words_known
-        else:
-            known.update((word, words_known[word]) for word in met.intersection(words_known))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        known = words.__getitem__
+        return [np.frombuffer(b"".join(map(known, text.encode().split())), np.int32) for text in texts]
 
+    # This code travels by value and is new in every task; what a worker process has learned stays with
+    # the library, which is not.
+    kept = tokenizers.__dict__.setdefault("_remembered", {})
+    if path not in kept:
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        model, as_bytes = tokenizer.model, _byte_characters()
+        pieces, words = Remembered(of_piece), Remembered(of_word)
+        kept[path] = whole, encode
+    whole, encode = kept[path]
     return encode if by_words else whole
 
 
