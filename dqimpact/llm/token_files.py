@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 END_ID = 2
 # Words, and pieces of words, whose ids a task remembers: the first it meets.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 
 
 @dataclass(frozen=True)
