@@ -301,3 +301,31 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     _benchmark(spark, [(1, None)]).write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_lm_score_keeps_rare_words_and_all_targets(spark):
+    """Neither the vocabulary nor the target shrinks with the corpus; chunks do not show."""
+    import math
+    from collections import Counter
+
+    rare = [(i, f"rare{i % 300} pair{i % 300} the") for i in range(600)]
+    texts = dict([*rare, *((i, "the of " * 500) for i in range(600, 800))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in lm_score.score_documents(docs, labels, chunk_words=1000).collect()}
+    assert set(got) == set(texts)
+
+    def loss(doc, ids):
+        single, pair = Counter(), Counter()
+        for i in ids:
+            line = ["<", *texts[i].split(), ">"]
+            single.update(line)
+            pair.update(zip(line, line[1:]))
+        whole = sum(n for w, n in single.items() if w != "<") + 0.5 * (602 + 2)
+        line = ["<", *texts[doc].split(), ">"]
+        each = [-math.log((pair[v, w] + 5 * (single[w] + 0.5) / whole) / (single[v] + 5)) for v, w in zip(line, line[1:])]
+        return sum(each) / len(each)
+
+    for doc in (0, 1, 17, 700):
+        assert got[doc]["background_loss"] == pytest.approx(loss(doc, texts), abs=1e-9)
+        assert got[doc]["target_loss"] == pytest.approx(loss(doc, range(0, 600, 2)), abs=1e-9)
