@@ -11,6 +11,7 @@ document.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -31,8 +32,15 @@ MAX_LABELLED = 20_000
 
 @dataclass(frozen=True)
 class Solver:
-    max_steps: int = 30
+    """Largest residual as a share of all tokens; evaluations after which targets count as not to be met.
+
+    They also do when a solved round misses more than nine tenths of what the round before missed.
+    """
+
     tolerance: float = 1e-9
+    max_steps: int = 100
+    # Weight of the multipliers of the round before, which keeps each round's problem strictly convex.
+    proximal: float = 1e-6
 
 
 def words_of(text: Column) -> Column:
@@ -127,6 +135,8 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
 def with_rates(rows: DataFrame, targets: Mapping[str, float], solver: Solver = Solver()) -> DataFrame:
     """Add `rate` to rows that have n_tokens and p_<domain>; `targets` are shares of all tokens.
 
+    `missed` is the largest residual of a domain as a share of all tokens, the same in all rows: within the
+    tolerance of the solver, or else a warning tells that the targets were not met.
     `rows` should be a stored table, for it is read once for each step.
     """
     domains = list(targets)
@@ -140,18 +150,79 @@ def with_rates(rows: DataFrame, targets: Mapping[str, float], solver: Solver = S
     gram = [[first[f"g{min(i, k)}_{max(i, k)}"] for k in range(len(p))] for i in range(len(p))]
     shares = sum(targets.values())
     wanted = [first["all"] * targets[d] / shares for d in domains]
-    rate: Column = F.lit(1.0)
-    before = float("inf")
-    for _ in range(solver.max_steps if first["all"] else 0):
-        sums = rows.agg(*[F.sum(rate * tokens * x) for x in p]).first()
-        residual = [s - w for s, w in zip(sums, wanted, strict=True)]
-        error = max(map(abs, residual)) / first["all"]
-        if error < solver.tolerance or before - error < solver.tolerance * 1e-3:
-            break
-        before = error
-        step = _solved(gram, residual)
-        rate = F.greatest(F.lit(0.0), rate - sum((x * y for x, y in zip(p[1:], step[1:], strict=True)), p[0] * step[0]))
-    return rows.withColumn("rate", rate)
+    best = _multipliers(rows, p, gram, wanted, first["all"], solver) if first["all"] else ([0.0] * len(p), 0.0)
+    if best[1] > solver.tolerance:
+        warnings.warn(f"targets {dict(targets)} missed by {best[1]:.3g} of all tokens", stacklevel=2)
+    return rows.withColumn("rate", _rate(p, best[0])).withColumn("missed", F.lit(best[1]))
+
+
+def _dot(left: Sequence, right: Sequence):
+    return sum((x * y for x, y in zip(left[1:], right[1:], strict=True)), left[0] * right[0])
+
+
+def _rate(p: Sequence[Column], multipliers: Sequence[float]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - _dot(p, [F.lit(float(m)) for m in multipliers]))
+
+
+def _multipliers(
+    rows: DataFrame, p: Sequence[Column], gram: list[list[float]], wanted: Sequence[float], total: float, solver: Solver
+) -> tuple[list[float], float]:
+    """The multipliers whose rates miss the targets least, and by what share of all tokens."""
+    n = len(p)
+    pairs = [(i, k) for i in range(n) for k in range(i, n)]
+    tokens = F.col("n_tokens")
+    # Domains that no documents tell apart have a singular Gram matrix.
+    gram = [[g + (1e-3 * total if i == k else 0.0) for k, g in enumerate(line)] for i, line in enumerate(gram)]
+
+    def sums(at: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """Half the square of the rates, what the domains get, and the Gram matrix of documents with a rate."""
+        rate = F.col("_rate")
+        taken = F.when(rate > 0, tokens).otherwise(0)
+        row = rows.withColumn("_rate", _rate(p, at)).agg(
+            F.sum(tokens * rate * rate / 2),
+            *[F.sum(tokens * rate * x) for x in p],
+            *[F.sum(taken * p[i] * p[k]) for i, k in pairs],
+        ).first()
+        found = {pair: x for pair, x in zip(pairs, row[n + 1 :], strict=True)}
+        return row[0], list(row[1 : n + 1]), [[found[min(i, k), max(i, k)] for k in range(n)] for i in range(n)]
+
+    def pull(at: list[float], center: list[float]) -> list[float]:
+        away = [x - c for x, c in zip(at, center, strict=True)]
+        return [solver.proximal * _dot(line, away) for line in gram]
+
+    def value(half: float, at: list[float], center: list[float]) -> float:
+        away = [x - c for x, c in zip(at, center, strict=True)]
+        return half + _dot(wanted, at) + _dot(pull(at, center), away) / 2
+
+    at, center = [0.0] * n, [0.0] * n
+    half, got, active = sums(at)
+    best, least = at, float("inf")
+    steps, round_before, stalled = 1, float("inf"), False
+    while True:
+        missed = max(abs(g - w) for g, w in zip(got, wanted, strict=True)) / total
+        if missed < least:
+            best, least = at, missed
+        if least <= solver.tolerance or steps >= solver.max_steps:
+            return best, least
+        slope = [w - g + x for w, g, x in zip(wanted, got, pull(at, center), strict=True)]
+        if stalled or max(map(abs, slope)) <= solver.tolerance * total / 10:
+            # This round is solved; the next starts from its multipliers.
+            if missed > 0.9 * round_before:
+                return best, least
+            round_before, center = missed, at
+            slope = [w - g for w, g in zip(wanted, got, strict=True)]
+        curve = [[a + solver.proximal * g for a, g in zip(x, y, strict=True)] for x, y in zip(active, gram, strict=True)]
+        step = [-x for x in _solved(curve, slope)]
+        here, down, length = value(half, at, center), _dot(slope, step), 1.0
+        while True:
+            tried = [x + length * y for x, y in zip(at, step, strict=True)]
+            half, got, active = sums(tried)
+            steps += 1
+            # Differences below the precision of the sums do not count.
+            if value(half, tried, center) <= here + 1e-4 * length * down + 1e-13 * abs(here) or steps >= solver.max_steps:
+                break
+            length /= 2
+        at, stalled = tried, length < 1e-3
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -172,7 +243,7 @@ def mixing_rates(
     text: str = "text",
     max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
-    """doc_id, the columns in `keep`, n_tokens, p_<domain> and rate of every row of `docs`.
+    """doc_id, the columns in `keep`, n_tokens, p_<domain>, rate and missed of every row of `docs`.
 
     Defined results for odd rows: a null or empty text has no tokens and the posterior of the priors;
     labels with a null are left out, and of several labels of one document each counts; without labels

@@ -329,3 +329,26 @@ def test_lm_score_keeps_rare_words_and_all_targets(spark):
     for doc in (0, 1, 17, 700):
         assert got[doc]["background_loss"] == pytest.approx(loss(doc, texts), abs=1e-9)
         assert got[doc]["target_loss"] == pytest.approx(loss(doc, range(0, 600, 2)), abs=1e-9)
+
+
+def test_mixing_ends_at_its_targets_when_many_rates_are_zero(spark):
+    """Mostly junk: thirty projected steps were not enough."""
+    draw = np.random.default_rng(7)
+    n = 2000
+    kind = draw.choice(3, n, p=[0.1, 0.7, 0.2])
+    p = np.array([draw.dirichlet(np.where(np.arange(3) == k, 8.0, 0.5)) for k in kind])
+    tokens = draw.integers(20, 2000, n)
+    rows = spark.createDataFrame(
+        [(int(t), *map(float, x)) for t, x in zip(tokens, p)], "n_tokens long, p_clean double, p_junk double, p_toxic double"
+    )
+    got = mixing.with_rates(rows, mixing.TARGETS).toPandas()
+    share = (got.rate * got.n_tokens).to_numpy() @ got[["p_clean", "p_junk", "p_toxic"]].to_numpy() / tokens.sum()
+    assert (got.rate >= 0).all() and (got.rate == 0).any()
+    assert np.abs(share - list(mixing.TARGETS.values())).max() < 2e-9 and got.missed.max() <= 1e-9
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    rows = spark.createDataFrame([(10, 0.5, 0.5), (20, 0.5, 0.5)], "n_tokens long, p_clean double, p_junk double")
+    with pytest.warns(UserWarning, match="missed"):
+        got = mixing.with_rates(rows, {"clean": 0.9, "junk": 0.1}).collect()
+    assert all(r["missed"] == pytest.approx(0.4) for r in got)
