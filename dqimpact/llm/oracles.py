@@ -121,3 +121,31 @@ ids as (select rid, count(*) as n, string_agg(item, ',' order by item) as s
 select doc_id, len(ws)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(ids.n, 0)::bigint as n_items,
   sha256(coalesce(ids.s, '')) as items_sha256, hit.n is not null as contaminated
 from d left join hit using (rid) left join ids using (rid)"""
+
+
+# The crc32 of words, from a table of the 256 bytes that is worked out here.
+_CRC = """tab as materialized (select list(c order by b) as t from (select b, list_reduce(list_prepend(b, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(0, 256))::bigint as b))),
+spelled as (select w, hex(encode(w)) as h from (select distinct unnest(ws) as w from d union select distinct unnest(ws) from b)),
+coded as materialized (select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2),
+      lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket from spelled, tab)"""
+
+OP12 = f"""with d as (select row_number() over () as rid, doc_id, {_tokens('text')} as ws from documents),
+b as (select {_tokens('text')} as ws from benchmark),
+{_CRC},
+dw as (select rid, bucket from (select rid, unnest(ws) as w from d) join coded using (w)),
+bw as (select bucket from (select unnest(ws) as w from b) join coded using (w)),
+corpus as (select bucket, count(*) as s from dw group by 1), target as (select bucket, count(*) as t from bw group by 1),
+totals as (select (select count(*) from dw) as s_all, (select count(*) from bw) as t_all),
+gain as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::double
+      / ((s + 1) * (t_all + 10000))::double))::bigint as g from corpus left join target using (bucket), totals),
+weighed as (select rid, count(*) as n, sum(g) as g from dw join gain using (bucket) group by rid),
+scored as (select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(g, 0)::bigint as weight,
+    coalesce(g, 0)::bigint + floor(-1000 * ln(-ln(((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5)::double)
+      / 4294967296.0::double)))::bigint as score, len(ws)::bigint as n_words from d left join weighed using (rid)),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place,
+    count(*) filter (where n_words >= 20) over () as able from scored)
+select doc_id, n_features, weight, score,
+  case when n_words >= 20 and place <= 10 * able // 100 then place end as rank, n_words from ranked"""

@@ -13,12 +13,15 @@ from dqimpact.llm.decontaminate import contamination, find_passages
 from dqimpact.llm.lm_score import score_documents
 from dqimpact.llm.mixing import mixing_rates
 from dqimpact.llm.ngram_join import ngram_components
+from dqimpact.llm.piece_spans import decode_digests, encode_spans
 from dqimpact.llm.quality_model import learn, score_quality
 from dqimpact.llm.quality_rules import quality_rules
+from dqimpact.llm.resample import importance_resample
 from dqimpact.llm.store import shared_folder, table
 from dqimpact.llm.token_files import checksums, read_token_files, write_token_files
 from dqimpact.llm.url_filter import judge_urls
 from dqimpact.llm.warc import read_archive, record_facts, write_archive
+from dqimpact.llm.whitening import whiten
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +109,22 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return record_facts(read_archive(spark, path))
 
 
+def op11_piece_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the piece ids of every document, and of the texts decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return decode_digests(encode_spans(table(spark, folder, "documents"), model), model)
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document, towards the words of the benchmark."""
+    return importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first 32 whitened components."""
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -117,6 +136,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_model": op9_quality_model,
     "op10_warc": op10_warc,
+    "op11_piece_spans": op11_piece_spans,
+    "op12_resample": op12_resample,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -126,4 +148,5 @@ ORACLE = {
     "op7_decontamination": oracles.OP7,
     "op8_url_filter": oracles.OP8,
     "op10_warc": oracles.OP10,
+    "op12_resample": oracles.OP12,
 }
