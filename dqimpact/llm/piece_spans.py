@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Segments that a task remembers, and the longest one worth it, in characters.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 64
-# Pieces of one batch that a task hands back.
-BATCH_PIECES = 500_000
+# Bytes of text that a task encodes at a time.
+BATCH_BYTES = 1 << 20
 
 MARK = "▁"
 SPANS = "doc_id long, ids array<int>, begins array<int>, ends array<int>, n_bytes int"
@@ -209,19 +211,18 @@ class Normaliser:
 
 
 class _Segments(dict):
-    """Ids and lengths of segments, made at the first request; forgotten all at once when they are too many."""
+    """Ids of the segments met first, up to a bound; those of the present texts stand beside them."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make = make
+    fresh: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        value = self.make(segment)
-        if len(segment) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = value
-        return value
+        return self.fresh[segment]
+
+    def learn(self, segments: list[str], ids: list[list[int]]) -> None:
+        self.fresh = {}
+        for segment, found in zip(segments, ids, strict=True):
+            known = self if len(self) < REMEMBERED and len(segment) <= LONGEST else self.fresh
+            known[segment] = array("i", found).tobytes()
 
 
 class SpanEncoder:
@@ -247,6 +248,9 @@ class SpanEncoder:
         spec.escape_whitespaces = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
+        # Bytes that a piece stands for; byte pieces and the unknown one depend on what is around them.
+        self.sizes = np.array([len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.byte = np.array([int(p.piece[1:-1], 16) if p.type == kinds.BYTE else -1 for p in model.pieces])
         pieces = [p.piece for p in model.pieces]
         apart = not own and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         bytewise = model.trainer_spec.byte_fallback
@@ -256,21 +260,36 @@ class SpanEncoder:
             self.cut = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
         else:
             self.cut = None
-        self.known = _Segments(self._segment)
-
-    def _segment(self, segment: str) -> bytes:
-        found = self.plain.encode(segment, return_type="proto").pieces
-        return np.array([(p.id, p.end - p.begin) for p in found], np.int32).tobytes()
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the first byte and the byte after the last one of each piece in the text."""
-        normal = self.normalise(text)
-        whole = normal.data.decode()
-        segments = [whole] if self.cut is None else self.cut.findall(whole)
-        rows = np.frombuffer(b"".join(map(self.known.__getitem__, segments)), np.int32).reshape(-1, 2)
-        ends = np.cumsum(rows[:, 1], dtype=np.int64)
-        begins = ends - rows[:, 1]
-        return rows[:, 0], normal.origin[begins], np.where(rows[:, 1] > 0, normal.origin[ends], normal.origin[begins])
+        self.known = _Segments()
+
+    def _lengths(self, ids: np.ndarray, normal: Normal) -> np.ndarray:
+        """Normalised bytes under each piece; those of a character spelled by its bytes count for the last one."""
+        if self.plain.unk_id() in ids:
+            found = self.plain.encode(normal.data.decode(), return_type="proto").pieces
+            return np.array([p.end - p.begin for p in found], np.int64)
+        lengths, byte = self.sizes[ids], self.byte[ids]
+        spelled = byte >= 0
+        if spelled.any():
+            later = spelled & (byte >= 0x80) & (byte < 0xC0)
+            at = np.arange(len(ids))
+            first = np.maximum.accumulate(np.where(spelled & ~later, at, 0))
+            last = ~np.concatenate((later[1:], [False]))
+            lengths = np.where(spelled, np.where(last, at - first + 1, 0), lengths)
+        return lengths
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and the first byte and the byte after the last one of each piece."""
+        normals = [self.normalise(text) for text in texts]
+        wholes = [normal.data.decode() for normal in normals]
+        segments = [[w] for w in wholes] if self.cut is None else [self.cut.findall(w) for w in wholes]
+        new = list(set(chain.from_iterable(segments)).difference(self.known))
+        self.known.learn(new, self.plain.encode(new, num_threads=1) if new else [])
+        for normal, parts in zip(normals, segments, strict=True):
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32)
+            lengths = self._lengths(ids, normal)
+            ends = np.cumsum(lengths)
+            begins = normal.origin[ends - lengths]
+            yield ids, begins, np.where(lengths > 0, normal.origin[ends], begins)
 
 
 def encode_spans(docs: DataFrame, model: str, text: str = "text", marks: bool = True) -> DataFrame:
@@ -283,7 +302,7 @@ def encode_spans(docs: DataFrame, model: str, text: str = "text", marks: bool =
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def made(numbers: list, found: list, sizes: list[int]) -> pa.RecordBatch:
+    def made(numbers: pa.Array, found: list, sizes: np.ndarray) -> pa.RecordBatch:
         counts = np.array([len(ids) for ids, _, _ in found], np.int64)
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
         columns = [
@@ -291,7 +310,7 @@ def encode_spans(docs: DataFrame, model: str, text: str = "text", marks: bool =
             for k in range(3)
         ]
         return pa.RecordBatch.from_arrays(
-            [pa.array(numbers, pa.int64()), *columns, pa.array(sizes, pa.int32())],
+            [numbers, *columns, pa.array(sizes, pa.int32())],
             names=["doc_id", "ids", "begins", "ends", "n_bytes"],
         )
 
@@ -299,23 +318,19 @@ def encode_spans(docs: DataFrame, model: str, text: str = "text", marks: bool =
         encoder = SpanEncoder(model)
         first, last = encoder.original.bos_id(), encoder.original.eos_id()
         for batch in batches:
-            numbers, found, sizes, held = [], [], [], 0
-            for i in range(batch.num_rows):
-                string = batch.column(1)[i].as_py() or ""
-                size = len(string.encode())
-                row = encoder(string)
-                if marks:
-                    around = ((first, last), (0, size), (0, size))
-                    row = tuple(np.concatenate(([a], x, [b])) for x, (a, b) in zip(row, around, strict=True))
-                numbers.append(batch.column(0)[i].as_py())
-                found.append(row)
-                sizes.append(size)
-                held += len(row[0])
-                if held >= BATCH_PIECES:
-                    yield made(numbers, found, sizes)
-                    numbers, found, sizes, held = [], [], [], 0
-            if numbers:
-                yield made(numbers, found, sizes)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            groups = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+            for group in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(groups)) + 1):
+                part = batch.slice(int(group[0]), len(group))
+                found = []
+                for row, size in zip(encoder([t or "" for t in part.column(1).to_pylist()]), sizes[group], strict=True):
+                    if marks:
+                        around = ((first, last), (0, size), (0, size))
+                        row = tuple(np.concatenate(([a], x, [b])) for x, (a, b) in zip(row, around, strict=True))
+                    found.append(row)
+                yield made(part.column(0), found, sizes[group])
 
     return rows.mapInArrow(encode, SPANS)
 
