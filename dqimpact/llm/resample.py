@@ -27,6 +27,8 @@ BUCKETS = 10_000
 # A line is hot from this share of all lines on; so there are at most as many hot lines.
 HOT_SHARE = 1_000
 REMEMBERED = 500_000
+# Buckets that travel in one row of partial totals.
+SLICE = 500
 # A byte of a word, in texts whose ASCII letters are small.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -134,17 +136,25 @@ def bucket_totals(parts: Sequence[DataFrame], buckets: int) -> list[int]:
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             times = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
             np.add.at(totals, lists.flatten().to_numpy(zero_copy_only=False), times)
-        used = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["bucket", "total"]
-        )
+        places = np.arange(0, buckets, SLICE)
+        slices = pa.array([totals[at : at + SLICE].tobytes() for at in places], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(places), slices], names=["place", "totals"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[place] = found.get(place, 0) + np.frombuffer(part, np.int64)
+        slices = pa.array([x.tobytes() for x in found.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), slices], names=["place", "totals"])
 
     made = reduce(DataFrame.unionByName, [p.select("times", "features") for p in parts])
-    totals = made.mapInArrow(summed, "bucket int, total long").groupBy("bucket").agg(F.sum("total").alias("total"))
-    found = [0] * buckets
-    for row in totals.collect():
-        found[row["bucket"]] = row["total"]
-    return found
+    slices = made.mapInArrow(summed, "place long, totals binary").repartition("place")
+    found = np.zeros(buckets, np.int64)
+    for row in slices.mapInArrow(merged, "place long, totals binary").collect():
+        part = np.frombuffer(row["totals"], np.int64)
+        found[row["place"] : row["place"] + len(part)] += part
+    return found.tolist()
 
 
 def gains(corpus: Sequence[int], target: Sequence[int]) -> list[int]:
