@@ -7,8 +7,11 @@ number for each design column, reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -20,6 +23,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,8 @@ from pyspark.sql import types as T
 from dqimpact.functions.draw import draw
 from dqimpact.operators.inject import DUPLICATE, ERROR_NAMES, LABELS, Key, duplicate, inject, wrong_labels
 from dqimpact.operators.running import running_totals
-from dqimpact.plans.sweep import Cell, Task, cell_labels, score_decisions
+from dqimpact.plans.sweep import Cell, Task, cell_labels, decision_counts, score_counts
+from dqimpact.session import shared_folder
 from dqimpact.sources.config import FeatureSpec
 from dqimpact.sources.tables import NO_ERROR
 
@@ -52,7 +57,7 @@ def learner(code: str, width: int) -> Estimator:
     at = {"featuresCol": "design", "labelCol": "y"}
     made: dict[str, Callable[[], Estimator]] = {
         "lr": lambda: LogisticRegression(**at),
-        "svm": lambda: LinearSVC(**at),
+        "svm": lambda: LinearSVC(regParam=1e-4, **at),
         "dt": lambda: DecisionTreeClassifier(seed=SEED, **at),
         "rf": lambda: RandomForestClassifier(seed=SEED, **at),
         "gbc": lambda: GBTClassifier(seed=SEED, maxIter=20, **at),
@@ -109,38 +114,71 @@ def _damaged(train: DataFrame, spec: FeatureSpec, task: Task, share: float, key:
     return inject(train, task.feature, task.role, task.error, share, key, seed)
 
 
+# Learners without a score that ranks rows.
+WITHOUT_SCORE = {"svm"}
+# Damaged tables that are worked on at the same time; each of their jobs is spread over the cluster.
+PARALLEL = 8
+
+
+def _decision(code: str) -> Column:
+    """Positive where class 1 is predicted, and rising with its probability where the learner gives one."""
+    if code in WITHOUT_SCORE:
+        return F.col("prediction") - 0.5
+    return vector_to_array("probability")[1] - 0.5
+
+
+def _counts_of_models(
+    rows: DataFrame, test: DataFrame, spec: FeatureSpec, models: Sequence[tuple[int, str]]
+) -> DataFrame:
+    """Decision counts of all models (number, code) fitted on one table."""
+    rows = prepared(rows, spec).persist()
+    shaped = Pipeline(stages=design_stages(spec)).fit(rows)
+    design = shaped.transform(rows).select("design", "y")
+    seen = shaped.transform(test).select("design", "y")
+    first = design.first()
+    width = first["design"].size if first else 1
+    scored = []
+    for number, code in models:
+        fitted = learner(code, width).fit(design)
+        scored.append(fitted.transform(seen).select(F.lit(number).alias("model"), "y", _decision(code).alias("decision")))
+    rows.unpersist()
+    return decision_counts(reduce(DataFrame.unionByName, scored))
+
+
 def ml_sweep(
     train: DataFrame, test: DataFrame, spec: FeatureSpec, tasks: Sequence[Task], key: str, dataset: str,
     models: Sequence[str], seed: int = SEED,
 ) -> DataFrame:
-    """Result rows of every (error, feature, level, model), the clean table included, without AUC."""
-    cells: list[Cell] = []
-    scored: list[DataFrame] = []
-    clean_test = prepared(test, spec)
-
-    def run(rows: DataFrame, codes: Sequence[str], error: str, level: float, feature: str) -> None:
-        rows = prepared(rows, spec).persist()
-        shaped = Pipeline(stages=design_stages(spec)).fit(rows)
-        design = shaped.transform(rows).select("design", "y")
-        seen = shaped.transform(clean_test).select("design", "y")
-        width = design.first()["design"].size if not rows.isEmpty() else 1
-        for code in codes:
-            fitted = learner(code, width).fit(design)
-            decision = fitted.transform(seen).select(
-                F.lit(len(cells)).alias("model"), "y", (F.col("prediction") - 0.5).alias("decision")
-            )
-            cells.append(Cell(error, level, feature, code))
-            scored.append(decision)
-        rows.unpersist()
-
-    run(train, models, NO_ERROR, 0.0, NO_ERROR)
+    """Result rows of every (error, feature, level, model), the clean table included.
+
+    Each damaged table is fitted and scored on its own, several at a time, and leaves the counts of its
+    decisions in the shared folder; one pass over these counts scores all cells.
+    """
+    tables = [(models, Cell(NO_ERROR, 0.0, NO_ERROR, ""), lambda: train)] if models else []
     for task in tasks:
         feature = spec.target if task.error in (LABELS, DUPLICATE) else task.feature
         for level in task.levels:
-            rows = _damaged(train, spec, task, level.share, key, seed)
-            run(rows, task.models, ERROR_NAMES[task.error], level.label, feature)
-    whole = reduce(DataFrame.unionByName, scored)
-    return score_decisions(whole, cell_labels(test, dataset, cells, NAMES), auc=False)
+            made = partial(_damaged, train, spec, task, level.share, key, seed)
+            tables.append((task.models, Cell(ERROR_NAMES[task.error], level.label, feature, ""), made))
+    cells: list[Cell] = []
+    numbered = []
+    for codes, cell, made in tables:
+        numbered.append(([(len(cells) + i, code) for i, code in enumerate(codes)], made))
+        cells += [replace(cell, code=code) for code in codes]
+
+    spark, clean_test = train.sparkSession, prepared(test, spec)
+    path = shared_folder(spark, "decisions")
+
+    def work(place: int) -> None:
+        codes, made = numbered[place]
+        _counts_of_models(made(), clean_test, spec, codes).write.parquet(f"{path}/table={place}")
+
+    # Jobs of several threads share the executors, as in a cross-validation.
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        list(pool.map(inheritable_thread_target(work), range(len(numbered))))
+    counts = spark.read.schema("model int, decision double, pos long, neg long").parquet(path)
+    unscored = [i for i, cell in enumerate(cells) if cell.code in WITHOUT_SCORE]
+    return score_counts(counts, cell_labels(test, dataset, cells, NAMES), unscored)
 
 
 def stratified_folds(rows: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:

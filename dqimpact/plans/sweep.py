@@ -22,7 +22,6 @@ from dqimpact.operators.inject import (
     Level,
     damaged_value,
     hit_share,
-    levels,
     needs_domain,
     needs_summary,
     summarise_all,
@@ -30,7 +29,7 @@ from dqimpact.operators.inject import (
 )
 from dqimpact.operators.metrics import confusion
 from dqimpact.operators.running import running_totals
-from dqimpact.sources.config import Config, FeatureSpec
+from dqimpact.sources.config import FeatureSpec
 from dqimpact.sources.tables import EXPERIMENTS, NO_ERROR
 
 
@@ -46,24 +45,6 @@ class Task:
     target_value: int | None = None
 
 
-def tasks_of(config: Config) -> list[Task]:
-    """The experiments of a config, one task for each feature; label and row errors are one task each.
-
-    An experiment without models of its own takes those of the config.
-    """
-    tasks = []
-    for e in config.experiments:
-        steps = tuple(levels(0.2 if e.step is None else e.step))
-        models = e.models or config.models
-        if e.error in (LABELS, DUPLICATE):
-            one_class = e.error == DUPLICATE and e.case != "all" and e.target_value is not None
-            value = int(float(e.target_value)) if one_class else None
-            tasks.append(Task(e.error, config.spec.target, "target", steps, models, value))
-        else:
-            tasks += [Task(e.error, f, config.spec.role_of(f), steps, models) for f in config.features_for(e)]
-    return tasks
-
-
 @dataclass(frozen=True)
 class Cell:
     """Labels of one scored model."""
@@ -175,6 +156,13 @@ def cell_labels(test: DataFrame, dataset: str, cells: Sequence[Cell], names: dic
     return test.sparkSession.createDataFrame(rows, schema)
 
 
+def decision_counts(scored: DataFrame) -> DataFrame:
+    """(model, decision, pos, neg) from (model, y, decision)."""
+    return scored.groupBy("model", "decision").agg(
+        F.count(F.when(F.col("y") == 1, 1)).alias("pos"), F.count(F.when(F.col("y") == 0, 1)).alias("neg")
+    )
+
+
 def score_decisions(
     scored: DataFrame,
     labels: DataFrame,
@@ -187,28 +175,39 @@ def score_decisions(
     With AUC everything comes from one count per distinct decision.  `predicted_label_score` ranks
     by the confidence in whichever label was predicted, instead of by the chance of class 1.
     """
-    if not auc:
-        sums = scored.groupBy("model").agg(
-            *confusion(F.col("y"), (F.col("decision") > 0).cast("int")), F.lit(None).cast("double").alias("auc")
+    if auc:
+        return score_counts(decision_counts(scored), labels, unscored, predicted_label_score)
+    sums = scored.groupBy("model").agg(
+        *confusion(F.col("y"), (F.col("decision") > 0).cast("int")), F.lit(None).cast("double").alias("auc")
+    )
+    return _result_rows(sums, labels)
+
+
+def score_counts(
+    counts: DataFrame, labels: DataFrame, unscored: Sequence[int] = (), predicted_label_score: bool = False
+) -> DataFrame:
+    """Result rows from (model, decision, pos, neg): one pass of running totals serves all models.
+
+    The area under the curve is the share of (positive, negative) pairs in right order, ties half.
+    """
+    rank = F.abs("decision") if predicted_label_score else F.col("decision")
+    counts = counts.withColumn("rank", rank)
+    if predicted_label_score:
+        below = running_totals(
+            counts.groupBy("model", "rank").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn")),
+            ["model"], ["rank"], {"below": F.col("rn")},
         )
+        area = below.groupBy("model").agg(_area("rp", "rn").alias("auc"))
+        sums = counts.groupBy("model").agg(*_summed_confusion()).join(F.broadcast(area), "model")
     else:
-        counts = scored.groupBy("model", "decision").agg(
-            F.count(F.when(F.col("y") == 1, 1)).alias("pos"), F.count(F.when(F.col("y") == 0, 1)).alias("neg")
-        )
-        rank = F.abs("decision") if predicted_label_score else F.col("decision")
-        counts = counts.withColumn("rank", rank)
-        if predicted_label_score:
-            below = running_totals(
-                counts.groupBy("model", "rank").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn")),
-                ["model"], ["rank"], {"below": F.col("rn")},
-            )
-            area = below.groupBy("model").agg(_area("rp", "rn").alias("auc"))
-            sums = counts.groupBy("model").agg(*_summed_confusion()).join(F.broadcast(area), "model")
-        else:
-            placed = running_totals(counts, ["model"], ["rank"], {"below": F.col("neg")})
-            sums = placed.groupBy("model").agg(*_summed_confusion(), _area("pos", "neg").alias("auc"))
-        if unscored:
-            sums = sums.withColumn("auc", F.when(~F.col("model").isin(*unscored), F.col("auc")))
+        placed = running_totals(counts, ["model"], ["rank"], {"below": F.col("neg")})
+        sums = placed.groupBy("model").agg(*_summed_confusion(), _area("pos", "neg").alias("auc"))
+    if unscored:
+        sums = sums.withColumn("auc", F.when(~F.col("model").isin(*unscored), F.col("auc")))
+    return _result_rows(sums, labels)
+
+
+def _result_rows(sums: DataFrame, labels: DataFrame) -> DataFrame:
     scores = classification_scores(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
     return sums.join(F.broadcast(labels), "model").select(
         *EXPERIMENTS.names[:5],

@@ -66,7 +66,13 @@ _POINTS = """points as (select k."datasetName", k."errorType", k.feature, k."mod
     from keys k join (select * from res where "errorType" = 'NULL') r using ("datasetName", "modelName")
     union all select "datasetName", "errorType", feature, "modelName", percentage, 1,
       "Accuracy", "Auc", "Recall", "Precision", "F1" from res where "errorType" <> 'NULL')"""
-_WITH = f"with res as (select * from {RESULTS_SQL}), {_KEYS}, {_POINTS}"
+
+
+def _with(results_sql: str) -> str:
+    return f"with res as (select * from {results_sql}), {_KEYS}, {_POINTS}"
+
+
+_WITH = _with(RESULTS_SQL)
 
 
 def _reported(value: str, spread: str) -> str:
@@ -76,8 +82,8 @@ def _reported(value: str, spread: str) -> str:
     )
 
 
-def epc_at_sql(metric: str = "Accuracy") -> str:
-    return f"""{_WITH},
+def epc_at_sql(metric: str = "Accuracy", results_sql: str = RESULTS_SQL) -> str:
+    return f"""{_with(results_sql)},
       run as (select {SERIES_SQL}, percentage, -corr(percentage, "{metric}") over w as v, count(*) over w as n,
           var_samp("{metric}") over (partition by {SERIES_SQL}) as spread
         from points where "{metric}" is not null
@@ -86,7 +92,7 @@ def epc_at_sql(metric: str = "Accuracy") -> str:
       select {SERIES_SQL}, percentage, {_reported('v', 'spread')} as epc_at from run where n > 1"""
 
 
-def epc_sql(metrics: dict[str, str]) -> str:
+def epc_sql(metrics: dict[str, str], results_sql: str = RESULTS_SQL) -> str:
     """`metrics`: score -> select list in front of the series."""
     parts = [
         f"""select {head} {SERIES_SQL}, coalesce(v, 0.0) as epc from keys left join (
@@ -94,7 +100,7 @@ def epc_sql(metrics: dict[str, str]) -> str:
           where "{m}" is not null group by {SERIES_SQL}) using ({SERIES_SQL})"""
         for m, head in metrics.items()
     ]
-    return f"{_WITH} " + " union all ".join(parts)
+    return f"{_with(results_sql)} " + " union all ".join(parts)
 
 
 def _over_results(plan) -> Query:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dqimpact.operators import inject
 from dqimpact.operators.encode import split
-from dqimpact.plans import learners
+from dqimpact.plans import epc, learners, runner, warehouse
 from dqimpact.plans.sweep import Task, moment_sweep
 from dqimpact.queries import LEVELS_SQL, Query, sql_draw, sql_share
 from dqimpact.queries.correlation import labelled_documents
-from dqimpact.sources.config import FeatureSpec
+from dqimpact.queries.sensitivity import epc_at_sql, epc_sql
+from dqimpact.queries.warehouse import modperf_sql
+from dqimpact.session import shared_folder
+from dqimpact.sources.config import FeatureSpec, features_dim, read_configs
 
 SPEC = FeatureSpec("quality", {"discrete": ("n_chars",), "binary": ("toxic",)})
 STEPS = tuple(inject.levels(0.2))
@@ -26,8 +31,9 @@ def _sweep(code: str) -> Query:
             Task(inject.MISSING, "n_chars", "discrete", STEPS, (code,)),
             Task(inject.NOISE, "toxic", "binary", STEPS, (code,)),
             Task(inject.LABELS, "quality", "target", STEPS, (code,)),
+            Task(inject.DUPLICATE, "quality", "target", STEPS, (code,)),
         ]
-        return moment_sweep(train, test, SPEC, tasks, "doc_id", "documents", (code,), auc=False)
+        return moment_sweep(train, test, SPEC, tasks, "doc_id", "documents", (code,))
 
     return run
 
@@ -47,14 +53,17 @@ _TABLES = f"""with docs as (select doc_id, quality::int as y, n_chars as x, toxi
   train as (select doc_id, y, x, z, lx + {_H.format(error='noise')} % (hx - lx + 1) as nx,
       case when {_H.format(error='outlier')} % 2 = 0 then ceil(mx + {_REACH}) else floor(mx - {_REACH}) end as ox,
       case when z = lz then hz else lz end as nz, {_u('noise', 'n_chars')}, {_u('outlier', 'n_chars')},
-      {_u('missing', 'n_chars')}, {_u('noise', 'toxic')}, {_u('labels', 'quality')} from docs, s where not held),
+      {_u('missing', 'n_chars')}, {_u('noise', 'toxic')}, {_u('labels', 'quality')}, {_u('duplicate', 'row')}
+      from docs, s where not held),
   cells as (
     select 'NULL' as e, 0.0::double as p, 'NULL' as f, y, x::double as x, z::double as z from train union all
     select 'Noisy', p, 'n_chars', y, case when u_noise_n_chars < p then nx else x end, z from train, {LEVELS_SQL} union all
     select 'Outlier', p, 'n_chars', y, case when u_outlier_n_chars < p then ox else x end, z from train, {LEVELS_SQL} union all
     select 'Missing', p, 'n_chars', y, case when u_missing_n_chars >= p then x end, z from train, {LEVELS_SQL} union all
     select 'Noisy', p, 'toxic', y, x, case when u_noise_toxic < p then nz else z end from train, {LEVELS_SQL} union all
-    select 'Labels', p, 'quality', case when u_labels_quality < p then 1 - y else y end, x, z from train, {LEVELS_SQL}),
+    select 'Labels', p, 'quality', case when u_labels_quality < p then 1 - y else y end, x, z from train, {LEVELS_SQL} union all
+    select 'DuplicatedAll', p, 'quality', y, x, z from train, {LEVELS_SQL} union all
+    select 'DuplicatedAll', p, 'quality', y, x, z from train, {LEVELS_SQL} where u_duplicate_row < p),
   filled as (select e, p, f, y, coalesce(x, avg(x) over (partition by e, p, f)) as x, z from cells),
   extra as (select e, p, f, 1e-9 * greatest(var_pop(x), var_pop(z)) as eps from filled group by e, p, f),
   fit as (select e, p, f, y, count(*)::double as n, avg(x) as ax, avg(z) as az, var_pop(x) + any_value(eps) as vx,
@@ -68,13 +77,16 @@ def _scored(name: str, log_odds: str) -> str:
         return f"coalesce(round(({top})::double / nullif({bottom}, 0), 4), 0.0)"
 
     return f"""{_TABLES},
-      odds as (select e, p, f, t.doc_id, t.y, sum(case when fit.y = 1 then {log_odds} else -({log_odds}) end) > 0 as yes
+      decided as (select e, p, f, t.doc_id, t.y, sum(case when fit.y = 1 then {log_odds} else -({log_odds}) end) as d
         from fit, test t group by e, p, f, t.doc_id, t.y),
+      odds as (select *, d > 0 as yes, rank() over (partition by e, p, f order by d)
+          + (count(*) over (partition by e, p, f, d) - 1) / 2.0 as place from decided),
       c as (select e, p, f, count(*) filter (where yes and y = 1) as tp, count(*) filter (where yes and y = 0) as fp,
-        count(*) filter (where not yes and y = 1) as fn, count(*) filter (where not yes and y = 0) as tn
+        count(*) filter (where not yes and y = 1) as fn, count(*) filter (where not yes and y = 0) as tn,
+        sum(place) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0 as above
         from odds group by e, p, f)
       select 'documents' as "datasetName", e as "errorType", p as percentage, f as feature, '{name}' as "modelName",
-        {ratio('tp + tn', 'tp + fp + fn + tn')} as "Accuracy", null::double as "Auc", {ratio('tp', 'tp + fn')} as "Recall",
+        {ratio('tp + tn', 'tp + fp + fn + tn')} as "Accuracy", round(above::double / nullif((tp + fn) * (fp + tn), 0), 4) as "Auc", {ratio('tp', 'tp + fn')} as "Recall",
         {ratio('tp', 'tp + fp')} as "Precision", {ratio('2 * tp', '2 * tp + fp + fn')} as "F1" from c"""
 
 
@@ -87,10 +99,85 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def spark_ml_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """All Spark ML learners on the clean table, and two of them along missing values."""
+    """All Spark ML learners on the clean table and under every error at every level."""
     train, test = _halves(spark, folder)
-    tasks = [Task(inject.MISSING, "n_chars", "discrete", STEPS[1::2], ("lr", "dt"))]
-    return learners.ml_sweep(train, test, TEXT_SPEC, tasks, "doc_id", "documents", tuple(learners.NAMES))
+    codes = tuple(learners.NAMES)
+    tasks = [
+        Task(inject.NOISE, "lang", "categoricalString", STEPS, codes),
+        Task(inject.OUTLIER, "n_chars", "discrete", STEPS, codes),
+        Task(inject.MISSING, "n_chars", "discrete", STEPS, codes),
+        Task(inject.LABELS, "quality", "target", STEPS, codes),
+        Task(inject.DUPLICATE, "quality", "target", STEPS, codes),
+    ]
+    return learners.ml_sweep(train, test, TEXT_SPEC, tasks, "doc_id", "documents", codes)
+
+
+# Two configs of one dataset, with the spellings that such files hold; not everything they ask for can be run.
+CONFIGS = (
+    {
+        "datasetName": "data/documents",
+        "targetVariabile": "quality",
+        "machineLearningModels": ["nb", "dummy"],
+        "discreteFeatures": ["n_chars"],
+        "binaryFeatures": ["toxic", "no_such_column"],
+        "Experiments": [
+            {"Errortype": "standard", "machineLearningModels": ["nb", "dummy", "rbfsvm"]},
+            {"Errortype": "noise", "FeatureType": "discrete", "Step": 0.2},
+            {"Errortype": "outlier", "Step": "0.2"},
+        ],
+    },
+    {
+        "datasetName": "documents",
+        "targetVariable": "quality",
+        "machineLearningModels": ["dummy", "nb", "catboost"],
+        "discreteFeatures": ["n_chars"],
+        "binaryFeatures": ["toxic"],
+        "Experiments": [
+            {"Errotype": "missing", "columns": ["n_chars"], "Step": "0.2"},
+            {"Errortype": "noise", "FeatureType": "binary"},
+            {"Errortype": "labels", "Step": 0.2},
+            {"Errortype": "duplicated", "Step": 0.2},
+        ],
+    },
+)
+
+
+def write_config_files(spark: SparkSession) -> str:
+    """The configs as JSON files in a new shared folder."""
+    path = shared_folder(spark, "configs")
+    lines = spark.createDataFrame([(json.dumps(c),) for c in CONFIGS], "value string")
+    lines.repartition(len(CONFIGS)).write.text(path)
+    return path
+
+
+def _study(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """Folder of the configs, and the stored result rows of their runs."""
+    configs = write_config_files(spark)
+
+    def read(name: str) -> DataFrame:
+        return labelled_documents(spark, folder).select("doc_id", "quality", "n_chars", "toxic")
+
+    return configs, runner.run_study(spark, configs, shared_folder(spark, "results"), read, "doc_id")
+
+
+def config_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows of config files, read back from the results table."""
+    return _study(spark, folder)[1]
+
+
+def sweep_epc(spark: SparkSession, folder: str) -> DataFrame:
+    """From configs over stored result rows to the EPC at every point of every series."""
+    return epc.epc_at(_study(spark, folder)[1])
+
+
+def sweep_epc_all_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return epc.epc_all_metrics(_study(spark, folder)[1])
+
+
+def sweep_modperf(spark: SparkSession, folder: str) -> DataFrame:
+    """From configs to the warehouse: scores, EPC, model families, feature roles, baselines."""
+    configs, results = _study(spark, folder)
+    return warehouse.modperf(results, epc.epc_at(results), features_dim(read_configs(spark, configs)))
 
 
 def l1_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,6 +203,10 @@ QUERIES: dict[str, Query] = {
     "lda_sweep": _sweep("lda"),
     "qda_sweep": _sweep("qda"),
     "ridge_sweep": _sweep("ridge"),
+    "config_sweep": config_sweep,
+    "sweep_epc": sweep_epc,
+    "sweep_epc_all_metrics": sweep_epc_all_metrics,
+    "sweep_modperf": sweep_modperf,
     "spark_ml_sweep": spark_ml_sweep,
     "l1_importance": l1_importance,
     "rf_importance": rf_importance,
@@ -123,4 +214,18 @@ QUERIES: dict[str, Query] = {
     "importance_stability": importance_stability,
 }
 
-ORACLE: dict[str, str] = {"nb_sweep": _scored("GaussianNB", _NB), "dummy_sweep": _scored("DummyClassifier", "ln(n)")}
+_NB_SQL, _DUMMY_SQL = _scored("GaussianNB", _NB), _scored("DummyClassifier", "ln(n)")
+_STUDY = f"with study as materialized (select * from ({_NB_SQL}) union all select * from ({_DUMMY_SQL}))"
+_ROLES = """(values ('documents', 'n_chars', 'discrete'), ('documents', 'toxic', 'binary'),
+  ('documents', 'no_such_column', 'binary'), ('documents', 'quality', 'target'))"""
+_ROLES = f'(select * from {_ROLES} r("datasetName", feature, type))'
+
+ORACLE: dict[str, str] = {
+    "nb_sweep": _NB_SQL,
+    "dummy_sweep": _DUMMY_SQL,
+    "config_sweep": f"{_STUDY} select * from study",
+    "sweep_epc": f"{_STUDY} {epc_at_sql(results_sql='study').replace('with res', ', res', 1)}",
+    "sweep_epc_all_metrics": f"""{_STUDY}
+      {epc_sql({m: f"'{m}' as metric," for m in epc.METRICS}, 'study').replace('with res', ', res', 1)}""",
+    "sweep_modperf": f"{_STUDY} {modperf_sql('study', _ROLES)}",
+}

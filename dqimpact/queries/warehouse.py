@@ -70,39 +70,66 @@ QUERIES: dict[str, Query] = {
     "modperf": whole,
 }
 
-_FACT = f"""(select "Accuracy" as "ACC", "Precision" as "PREC", "Recall" as "REC", "F1", coalesce("Auc", 0.0) as "AUC",
+
+
+def _fact(results_sql: str) -> str:
+    return f"""(select "Accuracy" as "ACC", "Precision" as "PREC", "Recall" as "REC", "F1", coalesce("Auc", 0.0) as "AUC",
   "datasetName" as "DATASETNAME", "errorType" as "ERRTYPE", percentage as "ERRPERC", feature as "FEATNAME",
-  "modelName" as "MODELNAME" from {RESULTS_SQL})"""
+  "modelName" as "MODELNAME" from {results_sql})"""
+
+
 _DIM = """(select distinct l_returnflag as "datasetName", ['quantity', 'discount', 'tax'][(l_partkey % 3 + 1)::int] as feature,
     case when l_partkey % 3 = 0 then 'discrete' else 'continue' end as type from lineitem
   union all select distinct l_returnflag, 'l_linestatus', 'target' from lineitem)"""
 _MODELS = "(values " + ", ".join(f"('{local}', '{shown}', '{kind}')" for _, local, shown, kind in warehouse.MODELS) + ")"
-_NAMED = f"""(select f.* exclude ("MODELNAME"), coalesce(m.shown, f."MODELNAME") as "MODELNAME", m.kind as "MODELTYPE"
-  from {_FACT} f left join {_MODELS} m(local, shown, kind) on f."MODELNAME" = m.local)"""
-_AT = f"""(select "datasetName", "errorType", feature, "modelName", percentage, max(epc_at) as "EPC"
-  from ({epc_at_sql()}) group by 1, 2, 3, 4, 5)"""
 _COLUMNS = ", ".join(f'"{c}"' for c in warehouse.MODPERF)
-_TYPED = f"""(select n.*, d.type as "FEATTYPE" from {_NAMED} n
-  left join {_DIM} d on n."DATASETNAME" = d."datasetName" and n."FEATNAME" = d.feature)"""
-_BASE = f"""(select s."ACC", s."PREC", s."REC", null::double as "EPC", s."F1", s."AUC", s."DATASETNAME", k."ERRTYPE",
+
+
+def _named(fact: str) -> str:
+    return f"""(select f.* exclude ("MODELNAME"), coalesce(m.shown, f."MODELNAME") as "MODELNAME", m.kind as "MODELTYPE"
+  from {fact} f left join {_MODELS} m(local, shown, kind) on f."MODELNAME" = m.local)"""
+
+
+def _typed(named: str, dim: str) -> str:
+    return f"""(select n.*, d.type as "FEATTYPE" from {named} n
+  left join {dim} d on n."DATASETNAME" = d."datasetName" and n."FEATNAME" = d.feature)"""
+
+
+def _base(typed: str) -> str:
+    return f"""(select s."ACC", s."PREC", s."REC", null::double as "EPC", s."F1", s."AUC", s."DATASETNAME", k."ERRTYPE",
     0.0::double as "ERRPERC", k."FEATTYPE", k."FEATNAME", s."MODELNAME", k."MODELTYPE"
-  from (select distinct "DATASETNAME", "MODELNAME", "ACC", "PREC", "REC", "F1", "AUC" from {_TYPED} t where "ERRPERC" = 0.0) s
-  join (select distinct "DATASETNAME", "MODELNAME", "FEATNAME", "FEATTYPE", "ERRTYPE", "MODELTYPE" from {_TYPED} t) k
+  from (select distinct "DATASETNAME", "MODELNAME", "ACC", "PREC", "REC", "F1", "AUC" from {typed} t where "ERRPERC" = 0.0) s
+  join (select distinct "DATASETNAME", "MODELNAME", "FEATNAME", "FEATTYPE", "ERRTYPE", "MODELTYPE" from {typed} t) k
     using ("DATASETNAME", "MODELNAME"))"""
-_WITH_EPC = f"""(select f.*, a."EPC" from {_FACT} f left join {_AT} a on f."DATASETNAME" = a."datasetName"
+
+
+def _with_epc(results_sql: str) -> str:
+    at = f"""(select "datasetName", "errorType", feature, "modelName", percentage, max(epc_at) as "EPC"
+  from ({epc_at_sql(results_sql=results_sql)}) group by 1, 2, 3, 4, 5)"""
+    return f"""(select f.*, a."EPC" from {_fact(results_sql)} f left join {at} a on f."DATASETNAME" = a."datasetName"
   and f."ERRTYPE" = a."errorType" and f."FEATNAME" = a.feature and f."MODELNAME" = a."modelName" and f."ERRPERC" = a.percentage)"""
-_NAMED_EPC = _TYPED.replace(_FACT, _WITH_EPC)
+
+
+def modperf_sql(results_sql: str, dim: str) -> str:
+    """The whole fact from a table of result rows and one of feature roles."""
+    typed = _typed(_named(_with_epc(results_sql)), dim)
+    base = _base(_typed(_named(_fact(results_sql)), dim))
+    return f"select {_COLUMNS} from {typed} union all select {_COLUMNS} from {base}"
+
+
+_FACT = _fact(RESULTS_SQL)
+_NAMED = _named(_FACT)
 
 ORACLE: dict[str, str] = {
     "features_dim": f"select * from {_DIM}",
     "modperf_load": f"select * from {_FACT}",
     "modperf_epc": f"""select "DATASETNAME", "ERRTYPE", "MODELNAME", "FEATNAME", "ERRPERC", "ACC", "PREC", "REC", "F1",
-      "AUC", "EPC" from {_WITH_EPC}""",
+      "AUC", "EPC" from {_with_epc(RESULTS_SQL)}""",
     "modperf_models": f"""select "ACC", "PREC", "REC", "F1", "AUC", "DATASETNAME", "ERRTYPE", "ERRPERC", "FEATNAME",
       "MODELNAME", "MODELTYPE" from {_NAMED}""",
     "modperf_feature_type": f"""select f."DATASETNAME", f."FEATNAME", f."ACC", f."PREC", f."REC", f."F1", f."AUC",
       f."ERRTYPE", f."ERRPERC", f."MODELNAME", d.type as "FEATTYPE" from {_FACT} f
       left join {_DIM} d on f."DATASETNAME" = d."datasetName" and f."FEATNAME" = d.feature""",
-    "modperf_baseline_fanout": f"select {_COLUMNS} from {_BASE}",
-    "modperf": f"select {_COLUMNS} from {_NAMED_EPC} union all select {_COLUMNS} from {_BASE}",
+    "modperf_baseline_fanout": f"select {_COLUMNS} from {_base(_typed(_NAMED, _DIM))}",
+    "modperf": modperf_sql(RESULTS_SQL, _DIM),
 }

@@ -122,8 +122,16 @@ def export_experiments(results: DataFrame, path: str) -> None:
 
 
 def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store scored rows as parquet, one folder per dataset, so later reads prune by dataset."""
-    results.write.mode(mode).partitionBy("datasetName").parquet(path)
+    """Store scored rows as parquet, one folder per dataset, so later reads prune by dataset.
+
+    Only the datasets among the rows are replaced, so a rerun leaves the results of others alone.
+    """
+    kept = results.select(*EXPERIMENTS.names).repartition("datasetName")
+    kept.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("datasetName").parquet(path)
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EXPERIMENTS).parquet(path).select(*EXPERIMENTS.names)
 
 
 def export_epc(at: DataFrame, whole: DataFrame, sensitive: DataFrame, path: str) -> None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 
-from dqimpact.plans.sweep import tasks_of
+from pyspark.sql import types as T
+
+from dqimpact.plans.runner import plan_config
 from dqimpact.sources import config
 
 RAW = {
@@ -30,7 +32,8 @@ def test_round_trip_and_tasks(spark, tmp_path):
     again = config.to_config(config.normalise_configs(spark.read.schema(config.CONFIG).json(str(tmp_path / "out"))).first())
     assert again == first and len(first.experiments) == 4
 
-    tasks = tasks_of(first)
+    schema = T.StructType().add("a", "integer").add("b", "double").add("c", "string").add("y", "integer")
+    tasks = plan_config(first, schema).tasks
     assert [(t.error, t.feature, t.role) for t in tasks] == [
         ("noise", "a", "discrete"), ("noise", "b", "discrete"), ("missing", "c", "categoricalString"),
         ("labels", "y", "target"), ("duplicate", "y", "target"),
