@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 
 from dqimpact.functions.draw import draw
 from dqimpact.operators.inject import DUPLICATE, ERROR_NAMES, LABELS, Key, duplicate, inject, wrong_labels
+from dqimpact.operators.neighbours import neighbour_counts
 from dqimpact.operators.running import running_totals
+from dqimpact.plans.boosting import fit_adaboost
 from dqimpact.plans.sweep import Cell, Task, cell_labels, decision_counts, score_counts
 from dqimpact.session import shared_folder
 from dqimpact.sources.config import FeatureSpec
@@ -50,6 +52,8 @@ NAMES = {
     "rf": "RandomForestClassifier",
     "gbc": "GradientBoostingClassifier",
     "mlp": "MLPClassifier",
+    "ada": "AdaBoostClassifier",
+    "knn": "KNeighborsClassifier",
 }
 
 
@@ -137,12 +141,24 @@ def _counts_of_models(
     seen = shaped.transform(test).select("design", "y")
     first = design.first()
     width = first["design"].size if first else 1
-    scored = []
+    counts = []
     for number, code in models:
-        fitted = learner(code, width).fit(design)
-        scored.append(fitted.transform(seen).select(F.lit(number).alias("model"), "y", _decision(code).alias("decision")))
+        name = F.lit(number).alias("model")
+        if code == "knn":
+            voted = neighbour_counts(_vectors(design), _vectors(seen), width)
+            found = voted.groupBy(name, "decision").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        elif code == "ada":
+            found = decision_counts(fit_adaboost(design).decide(seen).select(name, "y", "decision"))
+        else:
+            fitted = learner(code, width).fit(design)
+            found = decision_counts(fitted.transform(seen).select(name, "y", _decision(code).alias("decision")))
+        counts.append(found)
     rows.unpersist()
-    return decision_counts(reduce(DataFrame.unionByName, scored))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _vectors(design: DataFrame) -> DataFrame:
+    return design.select(vector_to_array("design").alias("vector"), "y")
 
 
 def ml_sweep(

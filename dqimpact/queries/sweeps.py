@@ -98,18 +98,24 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return split(docs, "doc_id")
 
 
-def spark_ml_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """All Spark ML learners on the clean table and under every error at every level."""
-    train, test = _halves(spark, folder)
-    codes = tuple(learners.NAMES)
-    tasks = [
+def _learner_sweep(*codes: str) -> Query:
+    """Learners on the clean table and under every error at every level."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        train, test = _halves(spark, folder)
+        return learners.ml_sweep(train, test, TEXT_SPEC, _learner_tasks(codes), "doc_id", "documents", codes)
+
+    return run
+
+
+def _learner_tasks(codes: tuple[str, ...]) -> list[Task]:
+    return [
         Task(inject.NOISE, "lang", "categoricalString", STEPS, codes),
         Task(inject.OUTLIER, "n_chars", "discrete", STEPS, codes),
         Task(inject.MISSING, "n_chars", "discrete", STEPS, codes),
         Task(inject.LABELS, "quality", "target", STEPS, codes),
         Task(inject.DUPLICATE, "quality", "target", STEPS, codes),
     ]
-    return learners.ml_sweep(train, test, TEXT_SPEC, tasks, "doc_id", "documents", codes)
 
 
 # Two configs of one dataset, with the spellings that such files hold; not everything they ask for can be run.
@@ -207,7 +213,9 @@ QUERIES: dict[str, Query] = {
     "sweep_epc": sweep_epc,
     "sweep_epc_all_metrics": sweep_epc_all_metrics,
     "sweep_modperf": sweep_modperf,
-    "spark_ml_sweep": spark_ml_sweep,
+    "spark_ml_sweep": _learner_sweep("lr", "svm", "dt", "rf", "gbc", "mlp"),
+    "ada_sweep": _learner_sweep("ada"),
+    "knn_sweep": _learner_sweep("knn"),
     "l1_importance": l1_importance,
     "rf_importance": rf_importance,
     "permutation_importance": permutation_importance,
