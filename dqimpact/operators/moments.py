@@ -193,10 +193,13 @@ def collect_slices(sums: DataFrame, width: int, products: bool) -> Slices:
     return found
 
 
-def level_moments(slices: Slices, number: int, combo: Combo, at: int, design: Design) -> list[Moments]:
+def level_moments(
+    slices: Slices, number: int, combo: Combo, at: int, design: Design, drop_gaps: bool = False
+) -> list[Moments]:
     """Per-class moments of the training rows at level index `at`; -1 is the clean table.
 
-    Values gone missing read as the mean, or the most frequent category, of the values left.
+    Values gone missing read as the mean, or the most frequent category, of the values left; with
+    `drop_gaps` their rows are left out.
     """
     classes = []
     for y in (0, 1):
@@ -209,6 +212,8 @@ def level_moments(slices: Slices, number: int, combo: Combo, at: int, design: De
             elif state == DIRTY and place <= at:
                 made = made + moments
         classes.append((kept, made))
+    if combo.error == MISSING and at >= 0 and drop_gaps:
+        return [kept for kept, _ in classes]
     if combo.error == MISSING and at >= 0:
         places = design.places(combo.feature)
         left = classes[0][0] + classes[1][0]

@@ -29,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqimpact.functions.draw import draw
 from dqimpact.operators.inject import DUPLICATE, ERROR_NAMES, LABELS, Key, duplicate, inject, wrong_labels
 from dqimpact.operators.neighbours import neighbour_counts
-from dqimpact.operators.running import running_totals
 from dqimpact.plans.boosting import fit_adaboost
+from dqimpact.plans.importance import REPEATS, label_importance
 from dqimpact.plans.sweep import Cell, Task, cell_labels, decision_counts, score_counts
 from dqimpact.session import shared_folder
 from dqimpact.sources.config import FeatureSpec
@@ -191,7 +190,7 @@ def ml_sweep(
 
     # Jobs of several threads share the executors, as in a cross-validation.
     with ThreadPoolExecutor(PARALLEL) as pool:
-        list(pool.map(inheritable_thread_target(work), range(len(numbered))))
+        list(pool.map(inheritable_thread_target(spark)(work), range(len(numbered))))
     counts = spark.read.schema("model int, decision double, pos long, neg long").parquet(path)
     unscored = [i for i, cell in enumerate(cells) if cell.code in WITHOUT_SCORE]
     return score_counts(counts, cell_labels(test, dataset, cells, NAMES), unscored)
@@ -207,7 +206,7 @@ def _validated(rows: DataFrame, spec: FeatureSpec, key: str, estimator: Estimato
     design = stratified_folds(shaped.transform(rows).select(key, "design", "y"), key).persist()
     measure = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=measure, numFolds=FOLDS, foldCol="fold", seed=SEED
+        estimator=estimator, estimatorParamMaps=grid, evaluator=measure, numFolds=FOLDS, foldCol="fold", seed=SEED, parallelism=PARALLEL
     )
     best = search.fit(design).bestModel
     design.unpersist()
@@ -221,66 +220,51 @@ def _ranked(rows: DataFrame, shaped: PipelineModel, values: Sequence[float], top
     return rows.sparkSession.createDataFrame(pairs, schema)
 
 
-def l1_importance(train: DataFrame, spec: FeatureSpec, key: str, top: int = TOP) -> DataFrame:
-    """(feature, importance): weights of an L1 logistic regression, its penalty picked by cross-validation."""
-    rows = prepared(train, spec, key)
+def _best_l1(rows: DataFrame, spec: FeatureSpec, key: str) -> tuple[PipelineModel, object]:
     model = LogisticRegression(featuresCol="design", labelCol="y", elasticNetParam=1.0)
-    grid = ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).build()
-    shaped, best = _validated(rows, spec, key, model, grid)
-    weights = best.coefficients.toArray()
-    found = _ranked(rows, shaped, weights, len(weights))
-    return found.filter(F.abs("importance") > LEAST_WEIGHT).orderBy(F.abs("importance").desc(), "feature").limit(top)
+    return _validated(rows, spec, key, model, ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).build())
 
 
-def forest_importance(train: DataFrame, spec: FeatureSpec, key: str, top: int = TOP) -> DataFrame:
-    """(feature, importance): Gini importance of a random forest picked by cross-validation."""
-    rows = prepared(train, spec, key)
+def _best_forest(rows: DataFrame, spec: FeatureSpec, key: str) -> tuple[PipelineModel, object]:
     model = RandomForestClassifier(featuresCol="design", labelCol="y", seed=SEED)
     grid = (
         ParamGridBuilder()
         .addGrid(model.featureSubsetStrategy, ["sqrt", "log2", "onethird", "all"])
-        .addGrid(model.minInstancesPerNode, [1, 2, 4])
+        .addGrid(model.minInstancesPerNode, [1, 5, 20])
         .build()
     )
-    shaped, best = _validated(rows, spec, key, model, grid)
-    return _ranked(rows, shaped, best.featureImportances.toArray(), top)
+    return _validated(rows, spec, key, model, grid)
 
 
-def shuffled(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """The table with one column's values dealt anew among its rows, whatever their number."""
-    one = {"_at": F.lit(1).cast("bigint")}
-    placed = running_totals(df.drop(column), [], [key], one)
-    mixed = df.select(key, column).withColumn("_draw", draw(key, seed, "shuffle", column))
-    dealt = running_totals(mixed, [], ["_draw", key], one).select("_at", column)
-    return placed.join(dealt, "_at").drop("_at").select(*df.columns)
+def l1_importance(train: DataFrame, spec: FeatureSpec, key: str, top: int = TOP) -> DataFrame:
+    """(feature, importance): the largest positive and the largest negative weights, up to `top` of each.
 
+    They are those of an L1 logistic regression, its penalty picked by cross-validation; weights next to
+    zero are left out.
+    """
+    rows = prepared(train, spec, key)
+    shaped, best = _best_l1(rows, spec, key)
+    weights = best.coefficients.toArray()
+    found = _ranked(rows, shaped, weights, len(weights))
+    rising = found.filter(F.col("importance") > LEAST_WEIGHT).orderBy(F.desc("importance"), "feature").limit(top)
+    falling = found.filter(F.col("importance") < -LEAST_WEIGHT).orderBy("importance", "feature").limit(top)
+    return rising.unionByName(falling)
 
-def permutation_importance(
-    train: DataFrame, test: DataFrame, spec: FeatureSpec, key: str, code: str = "lr", repeats: int = 10
-) -> DataFrame:
-    """(feature, repeat, importance): how much accuracy falls when a column of the test rows is shuffled."""
-    rows, seen = prepared(train, spec), prepared(test, spec, key)
-    shaped = Pipeline(stages=design_stages(spec)).fit(rows)
-    design = shaped.transform(rows).select("design", "y")
-    model = learner(code, design.first()["design"].size).fit(design)
-
-    def accuracy(data: DataFrame, *tags: Column) -> DataFrame:
-        right = (F.col("prediction") == F.col("y")).cast("double")
-        return model.transform(shaped.transform(data)).agg(F.avg(right).alias("accuracy")).select(*tags, "accuracy")
-
-    base = accuracy(seen).select(F.col("accuracy").alias("whole"))
-    parts = [
-        accuracy(shuffled(seen, c, key, SEED + k), F.lit(c).alias("feature"), F.lit(k).alias("repeat"))
-        for c in spec.features
-        for k in range(repeats)
-    ]
-    whole = base.scalar()
-    return reduce(DataFrame.unionByName, parts).select(
-        "feature", "repeat", F.round(whole - F.col("accuracy"), 6).alias("importance")
-    )
+
+def forest_importance(train: DataFrame, spec: FeatureSpec, key: str, top: int = TOP) -> DataFrame:
+    """(feature, importance): Gini importance of a random forest picked by cross-validation."""
+    rows = prepared(train, spec, key)
+    shaped, best = _best_forest(rows, spec, key)
+    return _ranked(rows, shaped, best.featureImportances.toArray(), top)
 
 
-def importance_stability(importances: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """(by, mean, sd, variation) of importances over repeats."""
-    made = importances.groupBy(*by).agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("sd"))
-    return made.withColumn("variation", F.try_divide("sd", "mean"))
+def permutation_importance(
+    train: DataFrame, test: DataFrame, spec: FeatureSpec, key: str, repeats: int = REPEATS
+) -> DataFrame:
+    """(model, feature, repeat, importance) of the L1 logistic regression and of the forest that cross-validation picks."""
+    rows, seen = prepared(train, spec, key), prepared(test, spec, key)
+    parts = []
+    for code, found in (("lr", _best_l1(rows, spec, key)), ("rf", _best_forest(rows, spec, key))):
+        importances = label_importance(*found, seen, spec.features, key, repeats)
+        parts.append(importances.select(F.lit(NAMES[code]).alias("model"), "feature", "repeat", "importance"))
+    return reduce(DataFrame.unionByName, parts)

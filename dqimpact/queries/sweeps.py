@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dqimpact.operators import inject
 from dqimpact.operators.encode import split
-from dqimpact.plans import epc, learners, runner, warehouse
+from dqimpact.plans import epc, importance, learners, runner, warehouse
 from dqimpact.plans.sweep import Task, moment_sweep
-from dqimpact.queries import LEVELS_SQL, Query, sql_draw, sql_share
+from dqimpact.queries import LEVELS_SQL, Query, sql_draw, sql_rounded, sql_share
 from dqimpact.queries.correlation import labelled_documents
 from dqimpact.queries.sensitivity import epc_at_sql, epc_sql
 from dqimpact.queries.warehouse import modperf_sql
@@ -46,24 +46,29 @@ _H = sql_draw("{error}", "n_chars", "doc_id", "v")
 _REACH = f"((3.0 + {_H.format(error='outlier')} / 4294967296.0) * sx)"
 
 # Every damaged training table as rows (cell, y, x, z).
-_TABLES = f"""with docs as (select doc_id, quality::int as y, n_chars as x, toxic::int as z,
+def _tables(damaged: str, more: str = "") -> str:
+    """Tables up to `cells`: the rows for which `damaged` holds, clean and under every error and level."""
+    return f"""with docs as (select doc_id, quality::int as y, n_chars as x, toxic::int as z,
     {sql_share('split', 'row', 'doc_id')} < 0.2 as held from documents join labels using (doc_id)),
   test as (select * from docs where held),
-  s as (select min(x) lx, max(x) hx, avg(x) mx, stddev_samp(x) sx, min(z) lz, max(z) hz from docs where not held),
-  train as (select doc_id, y, x, z, lx + {_H.format(error='noise')} % (hx - lx + 1) as nx,
+  s as (select min(x) lx, max(x) hx, avg(x) mx, stddev_samp(x) sx, min(z) lz, max(z) hz from docs where {damaged}),
+  train as (select doc_id, held, y, x, z, lx + {_H.format(error='noise')} % (hx - lx + 1) as nx,
       case when {_H.format(error='outlier')} % 2 = 0 then ceil(mx + {_REACH}) else floor(mx - {_REACH}) end as ox,
       case when z = lz then hz else lz end as nz, {_u('noise', 'n_chars')}, {_u('outlier', 'n_chars')},
       {_u('missing', 'n_chars')}, {_u('noise', 'toxic')}, {_u('labels', 'quality')}, {_u('duplicate', 'row')}
-      from docs, s where not held),
+      from docs, s where {damaged}),
   cells as (
-    select 'NULL' as e, 0.0::double as p, 'NULL' as f, y, x::double as x, z::double as z from train union all
-    select 'Noisy', p, 'n_chars', y, case when u_noise_n_chars < p then nx else x end, z from train, {LEVELS_SQL} union all
-    select 'Outlier', p, 'n_chars', y, case when u_outlier_n_chars < p then ox else x end, z from train, {LEVELS_SQL} union all
-    select 'Missing', p, 'n_chars', y, case when u_missing_n_chars >= p then x end, z from train, {LEVELS_SQL} union all
-    select 'Noisy', p, 'toxic', y, x, case when u_noise_toxic < p then nz else z end from train, {LEVELS_SQL} union all
-    select 'Labels', p, 'quality', case when u_labels_quality < p then 1 - y else y end, x, z from train, {LEVELS_SQL} union all
-    select 'DuplicatedAll', p, 'quality', y, x, z from train, {LEVELS_SQL} union all
-    select 'DuplicatedAll', p, 'quality', y, x, z from train, {LEVELS_SQL} where u_duplicate_row < p),
+    select 'NULL' as e, 0.0::double as p, 'NULL' as f, y, x::double as x, z::double as z{more} from train union all
+    select 'Noisy', p, 'n_chars', y, case when u_noise_n_chars < p then nx else x end, z{more} from train, {LEVELS_SQL} union all
+    select 'Outlier', p, 'n_chars', y, case when u_outlier_n_chars < p then ox else x end, z{more} from train, {LEVELS_SQL} union all
+    select 'Missing', p, 'n_chars', y, case when u_missing_n_chars >= p then x end, z{more} from train, {LEVELS_SQL} union all
+    select 'Noisy', p, 'toxic', y, x, case when u_noise_toxic < p then nz else z end{more} from train, {LEVELS_SQL} union all
+    select 'Labels', p, 'quality', case when u_labels_quality < p then 1 - y else y end, x, z{more} from train, {LEVELS_SQL} union all
+    select 'DuplicatedAll', p, 'quality', y, x, z{more} from train, {LEVELS_SQL} union all
+    select 'DuplicatedAll', p, 'quality', y, x, z{more} from train, {LEVELS_SQL} where u_duplicate_row < p)"""
+
+
+_TABLES = f"""{_tables('not held')},
   filled as (select e, p, f, y, coalesce(x, avg(x) over (partition by e, p, f)) as x, z from cells),
   extra as (select e, p, f, 1e-9 * greatest(var_pop(x), var_pop(z)) as eps from filled group by e, p, f),
   fit as (select e, p, f, y, count(*)::double as n, avg(x) as ax, avg(z) as az, var_pop(x) + any_value(eps) as vx,
@@ -195,11 +200,26 @@ def rf_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return learners.permutation_importance(*_halves(spark, folder), SPEC, "doc_id", "dt", repeats=2)
+    """The ten features of either model that its accuracy needs most, over ten repeats."""
+    return importance.top(learners.permutation_importance(*_halves(spark, folder), TEXT_SPEC, "doc_id"), "model")
 
 
 def importance_stability(spark: SparkSession, folder: str) -> DataFrame:
-    return learners.importance_stability(permutation_importance(spark, folder))
+    made = learners.permutation_importance(*_halves(spark, folder), TEXT_SPEC, "doc_id")
+    return importance.stability(made, ("model", "feature"))
+
+
+def importance_along_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance in a linear model along the levels of four errors."""
+    docs = labelled_documents(spark, folder).select("doc_id", "quality", "n_chars", "toxic")
+    tasks = [
+        Task(inject.NOISE, "n_chars", "discrete", STEPS, ()),
+        Task(inject.OUTLIER, "n_chars", "discrete", STEPS, ()),
+        Task(inject.MISSING, "n_chars", "discrete", STEPS, ()),
+        Task(inject.NOISE, "toxic", "binary", STEPS, ()),
+        Task(inject.LABELS, "quality", "target", STEPS, ()),
+    ]
+    return importance.importance_along_errors(docs, SPEC, tasks, "doc_id")
 
 
 # The learners of Spark ML, and the models beyond naive Bayes, are not expressed in SQL.
@@ -220,8 +240,26 @@ QUERIES: dict[str, Query] = {
     "rf_importance": rf_importance,
     "permutation_importance": permutation_importance,
     "importance_stability": importance_stability,
+    "importance_along_errors": importance_along_errors,
 }
 
+# Least squares in closed form; the drawn order deals values anew as dqimpact.plans.importance does.
+_ALONG = f"""{_tables('y is not null and x is not null and z is not null', ', held, doc_id')},
+  rows as (select e, p, f, y::double as y, x, z, held, doc_id from cells where e not in ('NULL', 'DuplicatedAll') and x is not null),
+  m as (select e, p, f, avg(y) as my, avg(x) as mx, avg(z) as mz, var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz,
+      covar_pop(x, y) as xy, covar_pop(z, y) as zy from rows where not held group by e, p, f),
+  w as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as wx, (zy * xx - xy * xz) / (xx * zz - xz * xz) as wz from m),
+  own as (select *, row_number() over (partition by e, p, f order by doc_id) as place from rows where held),
+  donor as (select e, p, f, x as dx, z as dz, k, row_number() over (partition by e, p, f, k order by
+        ('0x' || substr(md5((42 + k) || ':shuffle:row:' || doc_id), 1, 8))::bigint, doc_id) as place
+      from rows, (select unnest(range(0, 10)) as k) where held),
+  sums as (select e, p, f, k, var_pop(y) * count(*) as spread, sum((y - (my + wx * (x - mx) + wz * (z - mz))) ** 2) as base,
+      sum((y - (my + wx * (dx - mx) + wz * (z - mz))) ** 2) as sx, sum((y - (my + wx * (x - mx) + wz * (dz - mz))) ** 2) as sz
+    from own join donor using (e, p, f, place) join w using (e, p, f) group by e, p, f, k)
+  select e as "errorType", p as percentage, f as feature, name, {sql_rounded('avg(fall)', 6)} as importance from (
+    select e, p, f, 'n_chars' as name, (sx - base) / nullif(spread, 0) as fall from sums union all
+    select e, p, f, 'toxic', (sz - base) / nullif(spread, 0) from sums) group by e, p, f, name"""
+
 _NB_SQL, _DUMMY_SQL = _scored("GaussianNB", _NB), _scored("DummyClassifier", "ln(n)")
 _STUDY = f"with study as materialized (select * from ({_NB_SQL}) union all select * from ({_DUMMY_SQL}))"
 _ROLES = """(values ('documents', 'n_chars', 'discrete'), ('documents', 'toxic', 'binary'),
@@ -236,4 +274,5 @@ ORACLE: dict[str, str] = {
     "sweep_epc_all_metrics": f"""{_STUDY}
       {epc_sql({m: f"'{m}' as metric," for m in epc.METRICS}, 'study').replace('with res', ', res', 1)}""",
     "sweep_modperf": f"{_STUDY} {modperf_sql('study', _ROLES)}",
+    "importance_along_errors": _ALONG,
 }
