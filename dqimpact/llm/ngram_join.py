@@ -40,6 +40,10 @@ LEVELS = 8
 VERIFY_COST = 20.0
 # Entries of a list that one task may get before the list is salted.
 HOT_LIST = 5_000
+# Documents whose prefixes a task hands on at a time.
+BATCH_DOCS = 1_000
+# Up to so many entries a node's tokens travel with each of them.
+NARROW = 64
 # Bits of the place in a prefix, below the class of frequency.
 RANK_BITS = 40
 
@@ -113,7 +117,7 @@ def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
         hashes, at = WordHashes(), shared.value
         excess = np.maximum(decoded - floor, 0.0)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_DOCS) for b in batches for at in range(0, b.num_rows, BATCH_DOCS)):
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for _, text in _texts(batch):
                 found = shingle_set(text, width, hashes)
@@ -123,7 +127,7 @@ def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
                 key = int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True)
                 if key in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
                 frequency = at[(found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
@@ -150,18 +154,24 @@ def _postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) ->
     return docs.mapInArrow(prefixes, "token long, salt long, key long, n long, level long, rank long")
 
 
-def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, node, twice, n, level, rank of the lists that hold two classes or more, without repeats.
+def _shared_lists(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """token, node, twice, n, level, rank, mates: entries in lists that hold another class of a fitting size.
 
-    A salted list (salt 1 or more) is known to be long and kept as it is.
+    In the order of sizes the neighbours of an entry are the likeliest to fit.  `mates` is the lowest level
+    in the list.  A salted list (salt 1 or more) is known to be long, and all its entries are kept.
     """
-    mates = Window.partitionBy("token", "salt")
-    kept = (
-        postings.withColumns({"_low": F.min("key").over(mates), "_high": F.max("key").over(mates)})
-        .filter("salt > 0 or _low <> _high")
-        .select("token", "key", "n", "level", "rank")
+    once = (
+        postings.repartition("token", "salt")
+        .groupBy("token", "salt", "key")
+        .agg(*[F.first(c).alias(c) for c in ("n", "level", "rank")])
     )
-    return kept.join(classes, "key").select("token", "node", "twice", "n", "level", "rank").distinct()
+    sizes = Window.partitionBy("token", "salt").orderBy("n", "key")
+    n, smaller, larger = F.col("n"), F.lag("n").over(sizes), F.lead("n").over(sizes)
+    fits = (smaller.isNotNull() & _fits(smaller, n, percent)) | (larger.isNotNull() & _fits(n, larger, percent))
+    lowest = F.min("level").over(Window.partitionBy("token", "salt"))
+    kept = once.withColumns({"_fits": fits, "mates": F.when(F.col("salt") > 0, F.lit(1)).otherwise(lowest)})
+    kept = kept.filter("salt > 0 or _fits").select("token", "key", "n", "level", "rank", "mates")
+    return kept.join(classes, "key").select("token", "node", "twice", "n", "level", "rank", "mates")
 
 
 def _sets(docs: DataFrame, width: int, active: DataFrame) -> DataFrame:
@@ -246,13 +256,15 @@ def _with_bounds(lists: DataFrame, percent: int) -> DataFrame:
     order = F.struct(F.shiftright("rank", RANK_BITS).alias("c"), F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("t"))
     nodes = lists.groupBy("node").agg(
         F.count(F.lit(1)).alias("degree"), F.max(order).alias("end"), F.max(place).alias("_place"),
-        F.max("n").alias("_n"), F.max("twice").alias("_twice"),
+        F.max("n").alias("_n"), F.max("twice").alias("_twice"), F.least(F.min("level"), F.min("mates")).alias("_least"),
     )
+    # A pair shares as many entries as the lower of its levels, so who has fewer has no partner.
+    nodes = nodes.filter(F.col("_twice") | (F.col("degree") >= F.col("_least")))
     alone = F.when(F.col("_twice"), 0).otherwise(F.greatest(F.col("_place") + 1 - F.col("degree"), F.lit(0)))
     cap = F.floor((F.col("_n") - alone) * (100 + percent) / percent) - F.col("_n")
     cap = F.when(F.col("_twice"), F.lit((1 << 62))).otherwise(cap)
     bounds = nodes.select("node", "degree", "end", cap.cast("long").alias("cap"))
-    return lists.withColumn("place", place).drop("rank", "twice").join(bounds, "node")
+    return lists.withColumn("place", place).drop("rank", "twice", "mates").join(bounds, "node")
 
 
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -277,10 +289,18 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     lists = lists.join(spread.filter("_parts > 1"), "token")
     lists = stored(lists.withColumn("main", F.col("component") == F.col("_main")).drop("_main", "_parts"), "open")
 
+    # The smaller set of a pair is asked for the first part of its prefix only.
     rest = _at_least(2 * F.col("n"), both, percent) - F.col("level")
-    small = lists.withColumn("rest", rest).filter(F.col("place") < F.col("n") - F.col("rest"))
-    large = lists.withColumn("rest", _at_least(F.col("n"), 100, percent) - F.col("level"))
-    names = ("node", "component", "main", "n", "rest", "end", "cap")
+    asked = F.col("place") < F.col("n") - rest
+    narrow = lists.groupBy("node").agg(
+        F.array_sort(F.collect_set(F.when(asked, F.col("token")))).alias("asked"),
+        F.array_sort(F.collect_set("token")).alias("held"),
+        ((F.count(F.lit(1)) <= NARROW) & (F.min("n") == F.max("n"))).alias("_narrow"),
+    )
+    lists = lists.join(narrow.filter("_narrow").drop("_narrow"), "node", "left")
+    small = lists.withColumn("rest", rest).filter(asked).withColumn("tokens", F.col("asked"))
+    large = lists.withColumn("rest", _at_least(F.col("n"), 100, percent) - F.col("level")).withColumn("tokens", F.col("held"))
+    names = ("node", "component", "main", "n", "rest", "end", "cap", "tokens")
     left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
     right = large.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
 
@@ -288,15 +308,20 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     ordered = (a < b) | ((a == b) & (F.col("node_a") < F.col("node_b")))
     room = F.when(F.col("end_a") <= F.col("end_b"), b <= F.col("cap_a")).otherwise(a <= F.col("cap_b"))
     apart = F.col("component_a") != F.col("component_b")
+    enough = _at_least(a + b, both, percent) - F.greatest("rest_a", "rest_b")
+    # A pair with few entries is told at its first common one only, with all it has in common; others are counted.
+    common = F.array_intersect("tokens_a", "tokens_b")
+    wide = F.col("tokens_a").isNull() | F.col("tokens_b").isNull()
+    told = wide | ((F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= enough))
     keys = ["node_a", "node_b", "n_a", "n_b", "rest_a", "rest_b"]
 
     def met(first: DataFrame, second: DataFrame) -> DataFrame:
-        return first.join(second, "token").filter(apart & ordered & _fits(a, b, percent) & room).select(*keys)
+        found = first.join(second, "token").filter(apart & ordered & _fits(a, b, percent) & room & told)
+        return found.select(*keys, F.when(wide, F.lit(1)).otherwise(F.size(common)).alias("times"))
 
     pairs = met(left.filter("not main_a"), right).unionByName(met(left.filter("main_a"), right.filter("not main_b")))
-    counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
-    enough = F.col("times") >= _at_least(a + b, both, percent) - F.greatest("rest_a", "rest_b")
-    return counted.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    counted = pairs.groupBy(*keys).agg(F.sum("times").alias("times"))
+    return counted.filter(F.col("times") >= enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -304,6 +329,44 @@ def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return lists.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their classes, the classes with their nodes, and the lists of the classes' prefixes."""
+    whole = docs.filter("doc_id is not null")
+    rows = stored(_classes(docs, width), "classes")
+    groups = rows.filter("n > 0 and doc_id is not null").groupBy("key", "digest").agg(F.min("doc_id").alias("node"))
+    # A doc_id that stands for two different sets is one node, of which no bound is sure.
+    twice = F.count(F.lit(1)).over(Window.partitionBy("node")) > 1
+    groups = stored(groups.withColumn("twice", twice), "groups")
+    counts = _corpus_counts(whole, width)
+    postings = _postings(whole, width, percent, counts)
+    lists = stored(_shared_lists(postings, groups.select("key", "node", "twice"), percent), "lists")
+    return rows, groups, stored(_with_bounds(lists, percent).withColumn("component", F.col("node")), "bounded")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
+    whole, pairs = docs.filter("doc_id is not null"), stored(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return stored(_verified(pairs, stored(_sets(whole, width, nodes), "sets"), percent).distinct(), "found")
+
+
+def ngram_links(
+    docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) and (a, b): the class of every document, and all links between different sets.
+
+    Documents with equal sets form a class and are linked with each other; its node is their smallest
+    doc_id.  A link of two nodes stands for links of all documents of both.  The number of links grows
+    with the square of a group of near copies; `ngram_components` needs far fewer of them.  Odd rows are
+    treated as there; a document without n-grams or without doc_id has no node.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, groups, lists = _prepared(docs, width, percent)
+    links = _linked(docs, _cross_pairs(lists, percent), width, percent)
+    named = rows.join(groups.select("key", "digest", "node"), ["key", "digest"], "left")
+    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), links
+
+
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of `docs`.
 
@@ -314,26 +377,11 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, text: s
     64-bit hashes are equal.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    whole = docs.filter("doc_id is not null")
-    rows = stored(_classes(docs, width), "classes")
-    groups = rows.filter("n > 0 and doc_id is not null").groupBy("key", "digest").agg(F.min("doc_id").alias("node"))
-    # A doc_id that stands for two different sets is one node, of which no bound is sure.
-    twice = F.count(F.lit(1)).over(Window.partitionBy("node")) > 1
-    groups = stored(groups.withColumn("twice", twice), "groups")
-    counts = _corpus_counts(whole, width)
-    lists = _shared_lists(_postings(whole, width, percent, counts), groups.select("key", "node", "twice"))
-    lists = _with_bounds(stored(lists, "lists"), percent).withColumn("component", F.col("node"))
-    lists = stored(lists, "bounded")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return stored(_verified(pairs, stored(_sets(whole, width, nodes), "sets"), percent), "found")
-
+    rows, groups, lists = _prepared(docs, width, percent)
     # Two leaders for each node: the hub of its lists, and one that a draw picks, for groups apart from the hub.
     stars = _star_pairs(lists, F.col("degree"), percent).unionByName(_star_pairs(lists, F.xxhash64("node"), percent))
-    links = linked(stars.distinct())
-    more = linked(_cross_pairs(stored(_labelled(lists, links), "lists"), percent))
+    links = _linked(docs, stars.distinct(), width, percent)
+    more = _linked(docs, _cross_pairs(stored(_labelled(lists, links), "lists"), percent), width, percent)
 
     labels = components(links.unionByName(more))
     named = groups.join(labels, "node", "left").select(
