@@ -12,9 +12,10 @@ lower of the two levels at least, and more for sets of like size.
 Documents with equal sets fall into one class first.  Then links are sought where they are cheap: each
 class is held against two leaders, the class of highest degree among its lists and one picked by a draw,
 and the components of the links found are labelled.  A list whose members are all in one component needs no more work.  For the others
-every pair of members from different components is counted and, if it shares enough, verified, so that
-no link between components is lost while a group of near copies never expands into all its pairs.
-A list with very many entries is dealt over several tasks by a salt.
+every pair of members from different components that shares enough is verified, so that no link between
+components is lost.  Links inside a component are not sought; `ngram_links` finds all of them.
+Entries go early: those that fit no other one of their list by size, and nodes that are left with fewer
+entries than any partner would share.  A pair is told once, at the first entry that it has in common.
 """
 
 from __future__ import annotations
@@ -346,7 +347,7 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
     whole, pairs = docs.filter("doc_id is not null"), stored(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     return stored(_verified(pairs, stored(_sets(whole, width, nodes), "sets"), percent).distinct(), "found")
 
 
