@@ -3,10 +3,13 @@
 A classifier held as a table, learned from labelled rows, gives every document a posterior over the
 domains.  With t tokens and posterior p a document brings t * p tokens to the domains in expectation, and
 the rates r >= 0 are sought for which sum(r * t * p) meets the targets: least squares by projected
-gradient, in the metric of the token counts, with the residual scaled by the inverse Gram matrix
-sum(t * p * p').  In that scale the step length is one.  An iteration is one aggregate of as many sums as
-there are domains; the rates are an expression of the residuals so far, so no state is kept for each
-document.
+gradient from rates of 1, the residual scaled by an inverse Gram matrix sum(t * p * p').
+
+A step takes the Gram matrix of the documents that are free to move (those with a rate, or that the gradient
+raises): without a new zero it ends at the targets at once.  One aggregate tries this step at several lengths
+together with the plain one over the Gram matrix of all documents, whose length is one, and the best of them is
+taken.  The rates are an expression of the steps so far, stored now and then, so a scan of the posteriors sends
+a few sums to the driver and nothing else.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +36,19 @@ MAX_LABELLED = 20_000
 
 @dataclass(frozen=True)
 class Solver:
-    """Largest residual as a share of all tokens; evaluations after which targets count as not to be met.
+    """When the steps end: at a residual, or at a mean move of the plain projected step, of `tolerance`.
 
-    They also do when a solved round misses more than nine tenths of what the round before missed.
+    The residual is the largest of a domain as a share of all tokens; without a move the rates are a least-squares
+    solution, whether or not it meets the targets.  After `max_steps`, or `patience` steps that lower the
+    residual by less than a hundredth, the targets count as not to be met.
     """
 
     tolerance: float = 1e-9
-    max_steps: int = 100
-    # Weight of the multipliers of the round before, which keeps each round's problem strictly convex.
-    proximal: float = 1e-6
+    max_steps: int = 60
+    patience: int = 8
+    lengths: tuple[float, ...] = (1.0, 0.5, 0.25, 0.0625)
+    # Steps after which the rates are stored.
+    stored_after: int = 8
 
 
 def words_of(text: Column) -> Column:
@@ -137,92 +145,82 @@ def with_rates(rows: DataFrame, targets: Mapping[str, float], solver: Solver = S
 
     `missed` is the largest residual of a domain as a share of all tokens, the same in all rows: within the
     tolerance of the solver, or else a warning tells that the targets were not met.
-    `rows` should be a stored table, for it is read once for each step.
+    `rows` should be a stored table, for it is read twice for each step.
     """
     domains = list(targets)
     p = [F.col(f"p_{d}") for d in domains]
-    tokens = F.col("n_tokens")
-    pairs = [(i, k) for i in range(len(p)) for k in range(i, len(p))]
-    first = rows.agg(
-        F.coalesce(F.sum(tokens), F.lit(0)).cast("double").alias("all"),
-        *[F.coalesce(F.sum(tokens * p[i] * p[k]), F.lit(0.0)).alias(f"g{i}_{k}") for i, k in pairs],
-    ).first()
-    gram = [[first[f"g{min(i, k)}_{max(i, k)}"] for k in range(len(p))] for i in range(len(p))]
     shares = sum(targets.values())
-    wanted = [first["all"] * targets[d] / shares for d in domains]
-    best = _multipliers(rows, p, gram, wanted, first["all"], solver) if first["all"] else ([0.0] * len(p), 0.0)
-    if best[1] > solver.tolerance:
-        warnings.warn(f"targets {dict(targets)} missed by {best[1]:.3g} of all tokens", stacklevel=2)
-    return rows.withColumn("rate", _rate(p, best[0])).withColumn("missed", F.lit(best[1]))
+    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double")).first()[0]
+    wanted = [total * targets[d] / shares for d in domains]
+    slim = rows.select("n_tokens", *[x.alias(f"_p{k}") for k, x in enumerate(p)])
+    steps, missed = _steps(slim, wanted, total, solver) if total else ([], 0.0)
+    if missed > solver.tolerance:
+        warnings.warn(f"targets {dict(targets)} missed by {missed:.3g} of all tokens", stacklevel=2)
+    rate = reduce(lambda r, step: _moved(r, p, step), steps, F.lit(1.0))
+    return rows.withColumn("rate", rate).withColumn("missed", F.lit(missed))
 
 
 def _dot(left: Sequence, right: Sequence):
     return sum((x * y for x, y in zip(left[1:], right[1:], strict=True)), left[0] * right[0])
 
 
-def _rate(p: Sequence[Column], multipliers: Sequence[float]) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - _dot(p, [F.lit(float(m)) for m in multipliers]))
+def _along(p: Sequence[Column], step: Sequence[float]) -> Column:
+    return _dot(p, [F.lit(float(x)) for x in step])
+
+
+def _moved(rate: Column, p: Sequence[Column], step: Sequence[float]) -> Column:
+    """The rate after a step, projected to 0 or more."""
+    return F.greatest(F.lit(0.0), rate - _along(p, step))
 
 
-def _multipliers(
-    rows: DataFrame, p: Sequence[Column], gram: list[list[float]], wanted: Sequence[float], total: float, solver: Solver
-) -> tuple[list[float], float]:
-    """The multipliers whose rates miss the targets least, and by what share of all tokens."""
-    n = len(p)
+def _steps(slim: DataFrame, wanted: Sequence[float], total: float, solver: Solver) -> tuple[list[list[float]], float]:
+    """The steps taken one after another from rates of 1, and the share of all tokens that the last rates miss."""
+    n = len(wanted)
+    p = [F.col(f"_p{k}") for k in range(n)]
     pairs = [(i, k) for i in range(n) for k in range(i, n)]
     tokens = F.col("n_tokens")
-    # Domains that no documents tell apart have a singular Gram matrix.
-    gram = [[g + (1e-3 * total if i == k else 0.0) for k, g in enumerate(line)] for i, line in enumerate(gram)]
-
-    def sums(at: list[float]) -> tuple[float, list[float], list[list[float]]]:
-        """Half the square of the rates, what the domains get, and the Gram matrix of documents with a rate."""
-        rate = F.col("_rate")
-        taken = F.when(rate > 0, tokens).otherwise(0)
-        row = rows.withColumn("_rate", _rate(p, at)).agg(
-            F.sum(tokens * rate * rate / 2),
-            *[F.sum(tokens * rate * x) for x in p],
-            *[F.sum(taken * p[i] * p[k]) for i, k in pairs],
-        ).first()
-        found = {pair: x for pair, x in zip(pairs, row[n + 1 :], strict=True)}
-        return row[0], list(row[1 : n + 1]), [[found[min(i, k), max(i, k)] for k in range(n)] for i in range(n)]
 
-    def pull(at: list[float], center: list[float]) -> list[float]:
-        away = [x - c for x, c in zip(at, center, strict=True)]
-        return [solver.proximal * _dot(line, away) for line in gram]
+    def gram(sums: Sequence[float]) -> list[list[float]]:
+        found = dict(zip(pairs, sums, strict=True))
+        return [[found[min(i, k), max(i, k)] for k in range(n)] for i in range(n)]
+
+    def residuals(tried: Sequence[Column]) -> list[list[float]]:
+        sums = at.agg(*[F.sum(tokens * rate * x) for rate in tried for x in p]).first()
+        return [[sums[j * n + k] - wanted[k] for k in range(n)] for j in range(len(tried))]
 
-    def value(half: float, at: list[float], center: list[float]) -> float:
-        away = [x - c for x, c in zip(at, center, strict=True)]
-        return half + _dot(wanted, at) + _dot(pull(at, center), away) / 2
+    def value(residual: Sequence[float]) -> float:
+        return _dot(residual, _solved(whole, residual))
 
-    at, center = [0.0] * n, [0.0] * n
-    half, got, active = sums(at)
-    best, least = at, float("inf")
-    steps, round_before, stalled = 1, float("inf"), False
+    at = slim.withColumn("_rate", F.lit(1.0))
+    whole = gram(at.agg(*[F.sum(tokens * p[i] * p[k]) for i, k in pairs]).first())
+    rate, (residual,) = F.col("_rate"), residuals([F.col("_rate")])
+    steps: list[list[float]] = []
+    idle = 0
     while True:
-        missed = max(abs(g - w) for g, w in zip(got, wanted, strict=True)) / total
-        if missed < least:
-            best, least = at, missed
-        if least <= solver.tolerance or steps >= solver.max_steps:
-            return best, least
-        slope = [w - g + x for w, g, x in zip(wanted, got, pull(at, center), strict=True)]
-        if stalled or max(map(abs, slope)) <= solver.tolerance * total / 10:
-            # This round is solved; the next starts from its multipliers.
-            if missed > 0.9 * round_before:
-                return best, least
-            round_before, center = missed, at
-            slope = [w - g for w, g in zip(wanted, got, strict=True)]
-        curve = [[a + solver.proximal * g for a, g in zip(x, y, strict=True)] for x, y in zip(active, gram, strict=True)]
-        step = [-x for x in _solved(curve, slope)]
-        here, down, length = value(half, at, center), _dot(slope, step), 1.0
-        while True:
-            tried = [x + length * y for x, y in zip(at, step, strict=True)]
-            half, got, active = sums(tried)
-            steps += 1
-            # Differences below the precision of the sums do not count.
-            if value(half, tried, center) <= here + 1e-4 * length * down + 1e-13 * abs(here) or steps >= solver.max_steps:
-                break
-            length /= 2
-        at, stalled = tried, length < 1e-3
+        missed = max(map(abs, residual)) / total
+        if missed <= solver.tolerance or len(steps) >= solver.max_steps or idle >= solver.patience:
+            return steps, missed
+        plain = _solved(whole, residual)
+        free = F.when((rate > 0) | (_along(p, plain) < 0), tokens).otherwise(0)
+        *sums, move = at.agg(
+            *[F.sum(free * p[i] * p[k]) for i, k in pairs], F.sum(tokens * F.abs(rate - _moved(rate, p, plain)))
+        ).first()
+        if move / total <= solver.tolerance:
+            return steps, missed
+        newer = _solved(gram(sums), residual)
+        tried = [plain, *[[length * x for x in newer] for length in solver.lengths]]
+        left = residuals([_moved(rate, p, step) for step in tried])
+        best = min(range(len(tried)), key=lambda k: value(left[k]))
+        before, after = value(residual), value(left[best])
+        if after >= before:
+            # Below the precision of the sums.
+            return steps, missed
+        idle = idle + 1 if after > 0.99 * before else 0
+        steps.append(tried[best])
+        rate, residual = _moved(rate, p, tried[best]), left[best]
+        if len(steps) % solver.stored_after == 0:
+            at = stored(at.withColumn("_rate", rate), "rates")
+            rate = F.col("_rate")
 
 
 def copies(rate: Column, key: Column) -> Column:
