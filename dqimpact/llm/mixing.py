@@ -34,6 +34,24 @@ BUCKETS = 16_384
 MAX_LABELLED = 20_000
 
 
+@dataclass(frozen=True)
+class Classifier:
+    """Buckets of the table, labelled rows to fit it on at most, and which buckets weigh.
+
+    A bucket weighs if a domain has it in `least` labelled rows, and `surprise` standard deviations more or less
+    often than by its share of all buckets; by default all do.
+    """
+
+    buckets: int = BUCKETS
+    max_labelled: int = MAX_LABELLED
+    surprise: float = 0.0
+    least: int = 0
+
+
+#: For some hundred labelled rows or more of each domain: the few words that mark one do not drown in all others.
+TELLING = Classifier(buckets=65_536, surprise=5.0, least=5)
+
+
 @dataclass(frozen=True)
 class Solver:
     """When the steps end: at a residual, or at a mean move of the plain projected step, of `tolerance`.
@@ -73,11 +91,15 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return known.select("doc_id", domain.alias("domain"))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], text: str = "text", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> tuple[list[float], list[list[float]]]:
+def fit(
+    docs: DataFrame, labelled: DataFrame, domains: Sequence[str], text: str = "text", buckets: int = BUCKETS,
+    max_labelled: int = MAX_LABELLED, surprise: float = 0.0, least: int = 0,
+) -> tuple[list[float], list[list[float]]]:
     """Log priors and, for each domain, log weights of the buckets, both against the first domain.
 
     Naive Bayes over the buckets that occur in a document.  `labelled` has doc_id and domain; at most
-    `max_labelled` of its rows are used.  The result has a fixed size.
+    `max_labelled` of its rows are used.  Buckets below `surprise` and `least` weigh nothing.  The result has a
+    fixed size.
     """
     import math
 
@@ -86,20 +108,41 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], text: str
     seen = _featured(met, text, buckets).select("domain", F.explode("_buckets").alias("bucket"))
     counts = seen.groupBy("bucket", "domain").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = {r["domain"]: r["n"] for r in met.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = {d: [0.5] * buckets for d in domains}
+    table = {d: [0] * buckets for d in domains}
     for row in counts:
         if row["domain"] in table:
             table[row["domain"]][row["bucket"]] += row["n"]
-    logs = {d: [math.log(x) - math.log(sum(table[d])) for x in table[d]] for d in domains}
+    sums = {d: sum(table[d]) for d in domains}
+    whole = sum(sums.values())
+
+    def telling(bucket: int) -> bool:
+        if not surprise:
+            return True
+        own = [table[d][bucket] for d in domains]
+        if max(own) < max(least, 1):
+            return False
+        expected = [sum(own) * sums[d] / whole for d in domains]
+        spread = [math.sqrt(e * (1 - sums[d] / whole)) for e, d in zip(expected, domains, strict=True)]
+        return any(abs(n - e) >= surprise * s > 0 for n, e, s in zip(own, expected, spread, strict=True))
+
+    chosen = [telling(b) for b in range(buckets)]
+    logs = {d: [math.log(x + 0.5) - math.log(sums[d] + 0.5 * buckets) for x in table[d]] for d in domains}
     total = sum(rows.get(d, 0) + 1 for d in domains)
     priors = [math.log((rows.get(d, 0) + 1) / total) for d in domains]
-    weights = [[x - y for x, y in zip(logs[d], logs[domains[0]], strict=True)] for d in domains]
+    weights = [
+        [x - y if tells else 0.0 for x, y, tells in zip(logs[d], logs[domains[0]], chosen, strict=True)] for d in domains
+    ]
     return [p - priors[0] for p in priors], weights
 
 
+def _held(weights: list[float]) -> Column:
+    """The weights as one literal array, made when the plan is made."""
+    return F.split(F.lit(",".join(repr(w) if w else "0" for w in weights)), ",").cast("array<double>")
+
+
 def _weighed(buckets: Column, weights: list[float]) -> Column:
-    """The sum of the weights of some buckets; the weights become one literal array when the plan is made."""
-    held = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    """The sum of the weights of some buckets."""
+    held = _held(weights)
     return F.aggregate(buckets, F.lit(0.0), lambda total, bucket: total + held[bucket])
 
 
@@ -107,10 +150,13 @@ def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]
     """Add n_tokens and p_<domain> to every row.
 
     The words of a text depend on each other, so the sum of their weights is divided by the square root
-    of their number before it meets the prior.
+    of the number of those with a weight before it meets the prior.
     """
     priors, weights = model
     rows = _featured(docs, text, len(weights[0]))
+    if not all(map(any, zip(*weights, strict=True))):
+        held = [_held(w) for w in weights[1:]]
+        rows = rows.withColumn("_buckets", F.filter("_buckets", lambda b: reduce(lambda x, y: x | y, [h[b] != 0 for h in held])))
     damped = F.greatest(F.sqrt(F.size("_buckets")), F.lit(1.0))
     scores = {"_score_0": F.lit(0.0)}
     for k in range(1, len(domains)):
@@ -193,6 +239,8 @@ def _steps(slim: DataFrame, wanted: Sequence[float], total: float, solver: Solve
 
     at = slim.withColumn("_rate", F.lit(1.0))
     whole = gram(at.agg(*[F.sum(tokens * p[i] * p[k]) for i, k in pairs]).first())
+    # A domain that nearly no document belongs to would have nearly all the weight.
+    whole = [[g + (1e-5 * total if i == k else 0.0) for k, g in enumerate(line)] for i, line in enumerate(whole)]
     rate, (residual,) = F.col("_rate"), residuals([F.col("_rate")])
     steps: list[list[float]] = []
     idle = 0
@@ -233,23 +281,48 @@ def copies(rate: Column, key: Column) -> Column:
 TARGETS = {"clean": 0.9, "junk": 0.02, "toxic": 0.08}
 
 
+def profile(rows: DataFrame, domain: str, domains: Sequence[str]) -> dict[str, float] | None:
+    """What the documents that most likely belong to one domain bring to all domains, as shares of their tokens.
+
+    As targets these can be met by any posteriors: by rates of 0 for all other documents.  None without such documents.
+    """
+    top = F.greatest(*[F.col(f"p_{d}") for d in domains])
+    own = rows.filter((F.col(f"p_{domain}") == top) & (F.col("n_tokens") > 0))
+    sums = own.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in domains]).first()
+    return None if sums[0] is None else {d: x / sum(sums) for d, x in zip(domains, sums, strict=True)}
+
+
 def mixing_rates(
     docs: DataFrame,
     labels: DataFrame,
     targets: Mapping[str, float] = TARGETS,
     keep: Sequence[str] = (),
     text: str = "text",
-    max_labelled: int = MAX_LABELLED,
+    like: str | None = None,
+    classifier: Classifier = Classifier(),
 ) -> DataFrame:
     """doc_id, the columns in `keep`, n_tokens, p_<domain>, rate and missed of every row of `docs`.
 
+    With `like`, the name of a domain, the targets are the profile of the documents that most likely belong to
+    it; `targets` then only names the domains, and stands in where there is no such document.
+
     Defined results for odd rows: a null or empty text has no tokens and the posterior of the priors;
     labels with a null are left out, and of several labels of one document each counts; without labels
-    all domains are equally likely; repeated rows get equal rates; an empty table gives an empty result.
+    all domains are equally likely; repeated rows get equal rates; an empty table gives an empty result;
+    further columns are left out, and a column in `keep` that has the name of a computed one gives way to it.
     """
     domains = list(targets)
-    model = fit(docs, domain_of(labels), domains, text, max_labelled=max_labelled)
-    own = list(dict.fromkeys(["doc_id", *keep]))
-    judged = with_posteriors(docs.select(*dict.fromkeys([*own, text])), model, domains, text)
     made = ["n_tokens", *[f"p_{d}" for d in domains]]
-    return with_rates(stored(judged.select(*own, *made), "posteriors"), targets)
+    taken = {c.lower() for c in [*made, "rate", "missed"]}
+    own = [c for c in dict.fromkeys(["doc_id", *keep]) if c.lower() not in taken]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in own]
+    model = fit(
+        docs, domain_of(labels), domains, text, classifier.buckets, classifier.max_labelled, classifier.surprise, classifier.least
+    )
+    # The caller's columns have other names meanwhile, which cannot clash with those made on the way.
+    plain = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"own{i}") for i, c in enumerate(quoted)])
+    judged = with_posteriors(plain, model, domains)
+    rows = stored(judged.select(*[f"own{i}" for i in range(len(own))], *made), "posteriors")
+    goal = profile(rows, like, domains) if like else None
+    rated = with_rates(rows, goal or targets)
+    return rated.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(own)], *made, "rate", "missed")

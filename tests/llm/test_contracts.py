@@ -91,6 +91,40 @@ def test_classifier_table_against_plain_python(spark):
         assert [got[doc]["p_clean"], got[doc]["p_junk"]] == pytest.approx(posterior(text))
 
 
+def test_only_telling_buckets_weigh(spark):
+    """A word that marks one domain weighs; words that all share, or that hardly occur, do not."""
+    docs = [(i, f"the of {'idiot' if i % 4 == 0 else 'kind'} w{i}") for i in range(200)]
+    domains = ["clean", "toxic"]
+    labelled = spark.createDataFrame([(i, "toxic" if i % 4 == 0 else "clean") for i, _ in docs], "doc_id long, domain string")
+    _, weights = mixing.fit(
+        spark.createDataFrame(docs, "doc_id long, text string"), labelled, domains, surprise=5.0, least=5
+    )
+    marks = [spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(mixing.BUCKETS))).first()[0] for w in ("idiot", "kind")]
+    assert {b for b, w in enumerate(weights[1]) if w} == set(marks)
+    assert weights[1][marks[0]] > 0 > weights[1][marks[1]]
+
+
+def test_mixing_like_clean_documents_drops_toxic_ones(spark):
+    docs = spark.createDataFrame(
+        [(i, f"the of {'idiot' if i % 4 == 0 else 'kind'} w{i}") for i in range(400)], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    rows = mixing.mixing_rates(docs, labels, like="clean", classifier=mixing.TELLING).collect()
+    assert all((r["rate"] < 0.01) == (r["doc_id"] % 4 == 0) for r in rows)
+    assert all(r["rate"] > 1 for r in rows if r["doc_id"] % 4)
+    assert rows[0]["missed"] < 1e-9
+
+
+def test_mixing_ends_at_a_least_squares_solution(spark):
+    """Targets that no rates meet: the gradient leaves no document to move."""
+    rows = spark.createDataFrame([(100, 0.9, 0.1), (300, 0.8, 0.2)], "n_tokens long, p_clean double, p_toxic double")
+    with pytest.warns(UserWarning, match="missed"):
+        got = mixing.with_rates(rows, {"clean": 1.0, "toxic": 0.0}).toPandas()
+    p, t, r = got[["p_clean", "p_toxic"]].to_numpy(), got.n_tokens.to_numpy(float), got.rate.to_numpy()
+    slope = p @ np.linalg.solve((p * t[:, None]).T @ p + 0.004 * np.eye(2), (r * t) @ p - np.array([400.0, 0.0]))
+    assert np.allclose(np.where(r > 0, slope, np.minimum(slope, 0)), 0, atol=1e-6)
+
+
 def test_language_models_against_plain_counts(spark, folder, connection):
     smoothing = lm_score.Smoothing()
     texts = dict(_documents(connection))
@@ -188,7 +222,7 @@ def test_pipeline_stages_against_plain_versions(spark, folder, connection):
     assert clean_kept <= lines_kept and lines_kept - clean_kept <= dirty
 
     before, after = kept["mixing to target weights"]
-    rated = {r["doc_id"]: r["rate"] for r in mixing.mixing_rates(before, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    rated = {r["doc_id"]: r["rate"] for r in mixing.mixing_rates(before, spark.read.parquet(f"{folder}/labels.parquet"), like="clean", classifier=mixing.TELLING).collect()}
     times = Counter(r["doc_id"] for r in after.collect())
     assert set(times) <= set(rated)
     assert all(math.floor(rate) <= times[d] <= math.floor(rate) + 1 for d, rate in rated.items())
