@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqimpact.llm.decontaminate import decontaminated
-from dqimpact.llm.mixing import copies, mixing_rates
+from dqimpact.llm.mixing import TELLING, copies, mixing_rates
 from dqimpact.llm.ngram_join import ngram_components
 from dqimpact.llm.quality_rules import quality_rules
 from dqimpact.llm.store import shared_folder, stored, table
@@ -48,8 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is taken as often as its rate says, at the target weights of the domains."""
-    rated = mixing_rates(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    """Each document is taken as often as its rate says; the target weights are those of the documents judged clean."""
+    rated = mixing_rates(docs, table(spark, sf_dir, "labels"), keep=COLUMNS, like="clean", classifier=TELLING)
     taken = rated.withColumn("_copies", copies(F.col("rate"), F.col("doc_id"))).filter("_copies > 0")
     repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*COLUMNS)
