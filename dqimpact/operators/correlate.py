@@ -364,6 +364,22 @@ def pairwise_correlations(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("Feature1", "Feature2", "Type", "Correlation")
 
 
+def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """For each column the smallest value of each bin but the first, in order: fewer than `bins` numbers.
+
+    A value lies in bin floor(bins * rows below it / rows), so bins hold equal shares of the rows as far as
+    ties allow.  Counts of distinct values are placed by running totals; only the edges come to the driver.
+    """
+    placed = average_ranks(df, columns)
+    totals = placed.groupBy("Feature").agg(F.sum("n").alias("rows"))
+    bin_of = F.floor(F.col("below") * bins / F.col("rows"))
+    at = placed.join(F.broadcast(totals), "Feature").groupBy("Feature", bin_of.alias("bin")).agg(F.min("value").alias("low"))
+    edges: dict[str, list[float]] = {c: [] for c in columns}
+    for row in at.filter("bin > 0").collect():
+        edges[row["Feature"]].append(row["low"])
+    return {c: sorted(lows) for c, lows in edges.items()}
+
+
 def mutual_information(
     df: DataFrame,
     spec: FeatureSpec,
@@ -372,34 +388,30 @@ def mutual_information(
 ) -> DataFrame:
     """(Feature, Score) with Score > 0: plug-in mutual information in nats with the target.
 
-    Values of continuous features are put into bins first: equal shares of the rows by
-    approximate quantiles, or equal widths.
+    Values of continuous features are put into bins first: equal shares of the rows, by exact counts of
+    the rows below each value (equal values share a bin), or equal widths.
     """
     continuous = set(spec.role("continous"))
     columns = [c for role in ("discrete", "continous", "binary", "categoricalString", "categoricalInteger")
                for c in spec.role(role)]
-    aggregates = []
-    for i, c in enumerate(columns):
-        if c not in continuous:
-            continue
-        if equal_width:
-            edges = F.array(F.min(quoted(c)), F.max(quoted(c))).cast("array<double>")
-        else:
-            shares = [k / bins for k in range(1, bins)]
-            edges = F.percentile_approx(quoted(c).cast("double"), shares, 10000)
-        aggregates.append(edges.alias(f"e{i}"))
-    edges = df.agg(*aggregates).first() if aggregates else None
+    numbered = [(i, c) for i, c in enumerate(columns) if c in continuous]
+    if not equal_width:
+        edges = quantile_edges(df, [c for _, c in numbered], bins) if numbered else {}
+    elif numbered:
+        ends = [F.array(F.min(quoted(c)), F.max(quoted(c))).cast("array<double>").alias(f"e{i}") for i, c in numbered]
+        found = df.agg(*ends).first()
+        edges = {c: found[f"e{i}"] for i, c in numbered}
 
     def level(i: int, c: str) -> Column:
         if c not in continuous:
             return _text(df.schema, c)
-        x, marks = quoted(c).cast("double"), edges[f"e{i}"]
+        x, marks = quoted(c).cast("double"), edges[c]
         if equal_width:
             low, high = marks
             width = high - low
             place = F.lit(0) if not width else F.least(F.floor((x - F.lit(low)) / F.lit(width) * bins), F.lit(bins - 1))
             return F.when(x.isNotNull(), place.cast("string"))
-        above = reduce(lambda a, b: a + b, [F.when(x > F.lit(m), 1).otherwise(0) for m in sorted(set(marks))])
+        above = reduce(lambda a, b: a + b, [F.when(x >= F.lit(m), 1).otherwise(0) for m in marks], F.lit(0))
         return F.when(x.isNotNull(), above.cast("string"))
 
     cells = F.array(
@@ -412,13 +424,13 @@ def mutual_information(
         .groupBy("Feature", "value", "_y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # With a 0/1 target a value has two cells, and a feature two target totals.
+    # Only the totals have a known size, a row for each feature; a target may have any number of values.
     values = counts.groupBy("Feature", "value").agg(F.sum("n").alias("value_n"))
     classes = counts.groupBy("Feature", "_y").agg(F.sum("n").alias("class_n"))
     totals = classes.groupBy("Feature").agg(F.sum("class_n").alias("total"))
     joined = (
         counts.join(values, ["Feature", "value"])
-        .join(F.broadcast(classes), ["Feature", "_y"])
+        .join(classes, ["Feature", "_y"])
         .join(F.broadcast(totals), ["Feature"])
     )
     n, v, k, total = (F.col(c).cast("double") for c in ("n", "value_n", "class_n", "total"))

@@ -36,6 +36,6 @@ LEVELS_SQL = "(select unnest([0.2, 0.4, 0.6, 0.8]::double[]) as p) lv"
 
 def groups() -> list:
     """The modules that register queries."""
-    from dqimpact.queries import cleaning, correlation, injection, sensitivity, sweeps, warehouse
+    from dqimpact.queries import cleaning, correlation, exchange, injection, sensitivity, sweeps, warehouse
 
-    return [cleaning, injection, correlation, sweeps, sensitivity, warehouse]
+    return [cleaning, injection, correlation, sweeps, sensitivity, warehouse, exchange]

@@ -173,6 +173,11 @@ def mutual_information(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("Feature", _values("Score"))
 
 
+def mutual_information_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    found = correlate.mutual_information(items(spark, folder), MI_SPEC, bins=10)
+    return found.select("Feature", _values("Score"))
+
+
 def correlation_after_error(spark: SparkSession, folder: str) -> DataFrame:
     """How each association weakens as its feature gets noisier."""
     data = labelled_documents(spark, folder)
@@ -218,6 +223,7 @@ QUERIES: dict[str, Query] = {
     "pairwise_correlations": pairwise_correlations,
     "numeric_target_correlation": numeric_target_correlation,
     "mutual_information": mutual_information,
+    "mutual_information_quantiles": mutual_information_quantiles,
     "correlation_after_error": correlation_after_error,
     "binary_metrics": binary_metrics,
     "roc_auc": roc_auc,
@@ -297,6 +303,25 @@ def _pair_rows() -> str:
     return " union all ".join(rows)
 
 
+def _mi_rows(price_bin: str) -> str:
+    """Scores of all features; `price_bin` is SQL for the bin of a price."""
+    rows = " union all ".join(
+        _sql_mi(feature, value)
+        for feature, value in {
+            "l_extendedprice": price_bin,
+            "l_quantity": "l_quantity",
+            "supplier_group": "supplier_group",
+            "l_linenumber": "l_linenumber",
+            "open": '"open"',
+        }.items()
+    )
+    return f"""with {ITEMS_SQL.replace('items as', 'plain_items as', 1)},
+        items as (select *, rank() over (order by l_extendedprice) - 1 as below,
+          count(l_extendedprice) over () as in_all from plain_items),
+        bounds as (select min(l_extendedprice) lo, max(l_extendedprice) hi from items),
+        w as ({rows}) select * from w where "Score" is not null"""
+
+
 def _sql_mi(feature: str, value: str) -> str:
     return f"""select '{feature}' as "Feature", {sql_rounded('sum(n / t * ln(n * t / (v * k)))', DIGITS)} as "Score"
       from (select n, sum(n) over () as t, sum(n) over (partition by x) as v, sum(n) over (partition by y) as k from
@@ -406,14 +431,8 @@ ORACLE: dict[str, str] = {
         f"""select '{c}' as "Feature", {_sql_corr(c, 'quality')} as "Correlation" from docs"""
         for c in ("n_chars", "quality", "toxic")
     ),
-    "mutual_information": f"""with {ITEMS_SQL}, bounds as (select min(l_extendedprice) lo, max(l_extendedprice) hi from items),
-        w as ({' union all '.join([
-            _sql_mi('l_extendedprice', 'least(floor((l_extendedprice - lo) / (hi - lo) * 10), 9)'),
-            _sql_mi('l_quantity', 'l_quantity'),
-            _sql_mi('supplier_group', 'supplier_group'),
-            _sql_mi('l_linenumber', 'l_linenumber'),
-            _sql_mi('open', '"open"'),
-        ])}) select * from w where "Score" is not null""",
+    "mutual_information": _mi_rows("least(floor((l_extendedprice - lo) / (hi - lo) * 10), 9)"),
+    "mutual_information_quantiles": _mi_rows("floor(below * 10 / in_all)"),
     "correlation_after_error": f"""with {DOCUMENTS_SQL}, {_NOISY}
         select p as percentage, 'toxic' as "Feature", {_sql_mcc('toxic', 'quality')} as "Correlation",
           '{correlate.MATTHEWS}' as "Correlation Type" from noisy group by p union all

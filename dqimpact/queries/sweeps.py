@@ -77,13 +77,21 @@ _TABLES = f"""{_tables('not held')},
 _NB = "ln(n) - 0.5 * ln(vx) - (t.x - ax) * (t.x - ax) / (2 * vx) - 0.5 * ln(vz) - (t.z - az) * (t.z - az) / (2 * vz)"
 
 
-def _scored(name: str, log_odds: str) -> str:
+def _decided(log_odds: str, fitted: str = "fit") -> str:
+    """Each test row under each fit, from what a class says of it."""
+    return f"""select e, p, f, t.doc_id, t.y, sum(case when y1 = 1 then {log_odds} else -({log_odds}) end) as d
+        from (select * rename (y as y1) from {fitted}), test t group by e, p, f, t.doc_id, t.y"""
+
+
+def _scored(name: str, decided: str, more: str = "", auc: bool = True) -> str:
+    """Result rows of a model; `decided` is SQL for (e, p, f, doc_id, y, d), `more` are tables it rests on."""
+
     def ratio(top: str, bottom: str) -> str:
         return f"coalesce(round(({top})::double / nullif({bottom}, 0), 4), 0.0)"
 
-    return f"""{_TABLES},
-      decided as (select e, p, f, t.doc_id, t.y, sum(case when fit.y = 1 then {log_odds} else -({log_odds}) end) as d
-        from fit, test t group by e, p, f, t.doc_id, t.y),
+    area = "round(above::double / nullif((tp + fn) * (fp + tn), 0), 4)" if auc else "null::double"
+    return f"""{_TABLES}{more},
+      decided as ({decided}),
       odds as (select *, d > 0 as yes, rank() over (partition by e, p, f order by d)
           + (count(*) over (partition by e, p, f, d) - 1) / 2.0 as place from decided),
       c as (select e, p, f, count(*) filter (where yes and y = 1) as tp, count(*) filter (where yes and y = 0) as fp,
@@ -91,10 +99,33 @@ def _scored(name: str, log_odds: str) -> str:
         sum(place) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0 as above
         from odds group by e, p, f)
       select 'documents' as "datasetName", e as "errorType", p as percentage, f as feature, '{name}' as "modelName",
-        {ratio('tp + tn', 'tp + fp + fn + tn')} as "Accuracy", round(above::double / nullif((tp + fn) * (fp + tn), 0), 4) as "Auc", {ratio('tp', 'tp + fn')} as "Recall",
+        {ratio('tp + tn', 'tp + fp + fn + tn')} as "Accuracy", {area} as "Auc", {ratio('tp', 'tp + fn')} as "Recall",
         {ratio('tp', 'tp + fp')} as "Precision", {ratio('2 * tp', '2 * tp + fp + fn')} as "F1" from c"""
 
 
+# Two features: inverses of 2 x 2 matrices in closed form.
+_SCATTER = """,
+  g as (select e, p, f, y, count(*)::double as n, avg(x) as ax, avg(z) as az, var_pop(x) * count(*) as xx,
+      var_pop(z) * count(*) as zz, covar_pop(x, z) * count(*) as xz from filled group by e, p, f, y)"""
+_PAIRED = f"""{_SCATTER},
+  pair as (select e, p, f, ln(b.n / a.n) as prior, (a.ax + b.ax) / 2 as mx, (a.az + b.az) / 2 as mz, b.ax - a.ax as dx,
+      b.az - a.az as dz, (a.xx + b.xx) / (a.n + b.n - 2) as xx, (a.zz + b.zz) / (a.n + b.n - 2) as zz,
+      (a.xz + b.xz) / (a.n + b.n - 2) as xz from g a join g b using (e, p, f) where a.y = 0 and b.y = 1)"""
+_LDA = """select e, p, f, t.doc_id, t.y, prior + ((zz * dx - xz * dz) * (t.x - mx) + (xx * dz - xz * dx) * (t.z - mz))
+    / (xx * zz - xz * xz) as d from pair, test t"""
+_OWN = f"""{_SCATTER},
+  spread as (select e, p, f, y, n, ax, az, xx / (n - 1) as xx, zz / (n - 1) as zz, xz / (n - 1) as xz,
+      (xx * zz - xz * xz) / ((n - 1) * (n - 1)) as det from g)"""
+_QDA = """ln(n) - 0.5 * ln(det) - 0.5 * (zz * (t.x - ax) * (t.x - ax) - 2 * xz * (t.x - ax) * (t.z - az)
+    + xx * (t.z - az) * (t.z - az)) / det"""
+_LEAST = """,
+  l as (select e, p, f, avg(2 * y - 1) as my, avg(x) as mx, avg(z) as mz, var_pop(x) * count(*) + 1 as xx,
+      var_pop(z) * count(*) + 1 as zz, covar_pop(x, z) * count(*) as xz, covar_pop(x, 2 * y - 1) * count(*) as xy,
+      covar_pop(z, 2 * y - 1) * count(*) as zy from filled group by e, p, f)"""
+_RIDGE = """select e, p, f, t.doc_id, t.y, my + ((zz * xy - xz * zy) * (t.x - mx) + (xx * zy - xz * xy) * (t.z - mz))
+    / (xx * zz - xz * xz) as d from l, test t"""
+
+
 TEXT_SPEC = FeatureSpec("quality", {"discrete": ("n_chars",), "binary": ("toxic",), "categoricalString": ("lang",)})
 
 
@@ -222,7 +253,7 @@ def importance_along_errors(spark: SparkSession, folder: str) -> DataFrame:
     return importance.importance_along_errors(docs, SPEC, tasks, "doc_id")
 
 
-# The learners of Spark ML, and the models beyond naive Bayes, are not expressed in SQL.
+# The learners of Spark ML are not expressed in SQL.
 QUERIES: dict[str, Query] = {
     "nb_sweep": _sweep("nb"),
     "dummy_sweep": _sweep("dummy"),
@@ -260,7 +291,7 @@ _ALONG = f"""{_tables('y is not null and x is not null and z is not null', ', he
     select e, p, f, 'n_chars' as name, (sx - base) / nullif(spread, 0) as fall from sums union all
     select e, p, f, 'toxic', (sz - base) / nullif(spread, 0) from sums) group by e, p, f, name"""
 
-_NB_SQL, _DUMMY_SQL = _scored("GaussianNB", _NB), _scored("DummyClassifier", "ln(n)")
+_NB_SQL, _DUMMY_SQL = _scored("GaussianNB", _decided(_NB)), _scored("DummyClassifier", _decided("ln(n)"))
 _STUDY = f"with study as materialized (select * from ({_NB_SQL}) union all select * from ({_DUMMY_SQL}))"
 _ROLES = """(values ('documents', 'n_chars', 'discrete'), ('documents', 'toxic', 'binary'),
   ('documents', 'no_such_column', 'binary'), ('documents', 'quality', 'target'))"""
@@ -269,6 +300,9 @@ _ROLES = f'(select * from {_ROLES} r("datasetName", feature, type))'
 ORACLE: dict[str, str] = {
     "nb_sweep": _NB_SQL,
     "dummy_sweep": _DUMMY_SQL,
+    "lda_sweep": _scored("LinearDiscriminantAnalysis", _LDA, _PAIRED),
+    "qda_sweep": _scored("QuadraticDiscriminantAnalysis", _decided(_QDA, "spread"), _OWN),
+    "ridge_sweep": _scored("RidgeClassifier", _RIDGE, _LEAST, auc=False),
     "config_sweep": f"{_STUDY} select * from study",
     "sweep_epc": f"{_STUDY} {epc_at_sql(results_sql='study').replace('with res', ', res', 1)}",
     "sweep_epc_all_metrics": f"""{_STUDY}

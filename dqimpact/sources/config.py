@@ -223,7 +223,7 @@ def model_codes(names: Column) -> Column:
 
 
 def write_configs(configs: DataFrame, path: str) -> None:
-    """Write config rows in the form that read_configs reads, with model names as short codes."""
+    """Write config rows in the form that read_configs reads, a file for each, with model names as short codes."""
 
     def given(e: Column) -> Column:
         return F.struct(
@@ -240,7 +240,7 @@ def write_configs(configs: DataFrame, path: str) -> None:
     coded.select(
         *[c for c in coded.columns if c not in ("file", "experiments")],
         F.transform("experiments", given).alias("Experiments"),
-    ).write.mode("overwrite").json(path)
+    ).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def features_dim(configs: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqimpact.operators.running import running_totals
-from dqimpact.sources.config import base_name
+from dqimpact.sources.config import base_name, table_name
 
 # Columns and types of the result tables.
 EXPERIMENTS = T.StructType(
@@ -74,18 +74,25 @@ def align(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in train.schema.fields])
 
 
-def _with_index(schema: T.StructType) -> T.StructType:
+def with_index_field(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(INDEX, T.IntegerType()), *schema.fields])
 
 
+def source_name(path: Column) -> Column:
+    """Name of the file that a row came from; of its folder, if the file is a part of a written table."""
+    whole = F.regexp_replace(path, r"/part-[^/]*$", "")
+    return base_name(whole)
+
+
 def read_experiments(spark: SparkSession, path: str | Sequence[str], indexed: bool = True) -> DataFrame:
     """Result CSVs of one folder or of many files as one table, with the file each row came from.
 
-    Correlation outputs that lie in the same folder are left out by file name.
+    A file may be a folder of parts.  Correlation outputs that lie in the same folder are left out by name,
+    a condition on the metadata of files alone, so they are not opened; their columns are others.
     """
-    schema = _with_index(EXPERIMENTS) if indexed else EXPERIMENTS
+    schema = with_index_field(EXPERIMENTS) if indexed else EXPERIMENTS
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    named = raw.withColumn("file", base_name(F.col("_metadata.file_path")))
+    named = raw.withColumn("file", source_name(F.col("_metadata.file_path")))
     return named.filter(F.col("file") != "correlation_results.csv").drop(INDEX)
 
 
@@ -97,7 +104,7 @@ def read_epc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def loaded_files(df: DataFrame) -> DataFrame:
     """Names of the files behind a multi-file read, as the warehouse lists them."""
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    return df.select(F.replace(stem, F.lit("-"), F.lit("_")).alias("name")).distinct()
+    return df.select(table_name(stem).alias("name")).distinct()
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], index: str = INDEX) -> DataFrame:
@@ -130,6 +137,12 @@ def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None
     kept.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("datasetName").parquet(path)
 
 
+def save_and_load(results: DataFrame, path: str) -> DataFrame:
+    """Rows that several jobs start from, stored so that they are made once."""
+    save_results(results, path)
+    return load_results(results.sparkSession, path)
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPERIMENTS).parquet(path).select(*EXPERIMENTS.names)
 
