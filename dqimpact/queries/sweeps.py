@@ -113,11 +113,19 @@ _PAIRED = f"""{_SCATTER},
       (a.xz + b.xz) / (a.n + b.n - 2) as xz from g a join g b using (e, p, f) where a.y = 0 and b.y = 1)"""
 _LDA = """select e, p, f, t.doc_id, t.y, prior + ((zz * dx - xz * dz) * (t.x - mx) + (xx * dz - xz * dx) * (t.z - mz))
     / (xx * zz - xz * xz) as d from pair, test t"""
+# A feature without spread in a class has no part in its distance; determinants are those of standardised features.
 _OWN = f"""{_SCATTER},
-  spread as (select e, p, f, y, n, ax, az, xx / (n - 1) as xx, zz / (n - 1) as zz, xz / (n - 1) as xz,
-      (xx * zz - xz * xz) / ((n - 1) * (n - 1)) as det from g)"""
-_QDA = """ln(n) - 0.5 * ln(det) - 0.5 * (zz * (t.x - ax) * (t.x - ax) - 2 * xz * (t.x - ax) * (t.z - az)
-    + xx * (t.z - az) * (t.z - az)) / det"""
+  unit as (select coalesce(nullif(var_pop(x), 0), 1) as vx, coalesce(nullif(var_pop(z), 0), 1) as vz from cells where e = 'NULL'),
+  own as (select e, p, f, y, n, ax, az, vx, vz, xx / (n - 1) as xx, zz / (n - 1) as zz, xz / (n - 1) as xz,
+      (xx * zz - xz * xz) / ((n - 1) * (n - 1)) as det from g, unit),
+  spread as (select e, p, f, y, n, ax, az,
+      case when xx * zz > 0 then zz / det when xx > 0 then 1 / xx else 0 end as ixx,
+      case when xx * zz > 0 then xx / det when zz > 0 then 1 / zz else 0 end as izz,
+      case when xx * zz > 0 then -xz / det else 0 end as ixz,
+      case when xx * zz > 0 then ln(det / (vx * vz)) else case when xx > 0 then ln(xx / vx) else 0 end
+        + case when zz > 0 then ln(zz / vz) else 0 end end as size from own)"""
+_QDA = """ln(n) - 0.5 * size - 0.5 * (ixx * (t.x - ax) * (t.x - ax) + 2 * ixz * (t.x - ax) * (t.z - az)
+    + izz * (t.z - az) * (t.z - az))"""
 _LEAST = """,
   l as (select e, p, f, avg(2 * y - 1) as my, avg(x) as mx, avg(z) as mz, var_pop(x) * count(*) + 1 as xx,
       var_pop(z) * count(*) + 1 as zz, covar_pop(x, z) * count(*) as xz, covar_pop(x, 2 * y - 1) * count(*) as xy,
