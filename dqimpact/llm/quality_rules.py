@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqimpact.llm.store import carried, quoted
+
 # The white space between words, and the characters that count as symbols.
 SPACE = " \t\n\u000b\f\r"
 SPACES = "[ \\t-\\r]+"
@@ -134,10 +136,19 @@ def line_passes(x: Column, rules: Rules) -> Column:
 
 
 def quality_rules(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Add the base counts, cleaned_text, n_removed_lines, lost_chars, base_failed and kept to every row."""
-    kept_as = df.columns
+    """Add the base counts, cleaned_text, n_removed_lines, lost_chars, base_failed and kept to every row.
+
+    Other columns are carried along whatever their names; those named like a result, in any case, are replaced.
+    """
+    made = [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "lost_chars",
+        "cleaned_text", "base_failed", "kept",
+    ]
+    own = carried(df, made)
     none = F.array().cast("array<string>")
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = df.select(
+        F.coalesce(F.col(quoted(text)), F.lit("")).alias("_text"), *[F.col(quoted(c)).alias(name) for name, c in own.items()]
+    )
     df = df.withColumn("_words", F.when(F.col("_text").rlike("[^ \\t-\\r]"), _words(F.col("_text"))).otherwise(none))
     df = df.withColumns(
         {
@@ -168,11 +179,8 @@ def quality_rules(df: DataFrame, text: str = "text", rules: Rules = Rules()) ->
     )
     lost = F.col("lost_chars") * 100 > F.col("word_chars") * rules.max_lost_percent
     df = df.withColumns({"base_failed": base, "kept": ~base & ~lost})
-    made = [
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "lost_chars",
-        "cleaned_text", "base_failed", "kept",
-    ]
-    whole_row = df.select(*[c for c in kept_as if c not in made], *made)
+    whole_row = df.select(*own, *made)
     # A filter on a verdict must not be moved below: it would repeat, for every use of a column, all that
     # the column is made of.  What a generator gives out stays above it.
-    return whole_row.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in whole_row.columns]))))
+    lifted = whole_row.select(F.inline(F.array(F.struct(*whole_row.columns))))
+    return lifted.select(*[F.col(name).alias(c) for name, c in own.items()], *made)

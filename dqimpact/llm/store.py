@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, made: Iterable[str]) -> dict[str, str]:
+    """Names for the columns of `df` on the way: plain name -> the caller's, without those named like a result.
+
+    The plain names (own0, own1, ...) clash with none that an operator makes; names that differ in case only
+    are one to Spark.
+    """
+    taken = {name.lower() for name in made}
+    return {f"own{i}": c for i, c in enumerate(df.columns) if c.lower() not in taken}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that `spark.checkpoint.dir` names.
 
