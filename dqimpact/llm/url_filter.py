@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqimpact.llm.store import carried, quoted
+
 SALTS = 32
 
 
@@ -114,11 +116,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     `rules` has host, path and verdict (allow or block).  The longest rule wins: by the characters of
     host and path together, then by those of the host.  Defined results for odd rows: a null url, or one
     without ://, has an empty host and path and fits no rule; repeated rows are judged alike; a rule with
-    a null is left out; other columns are carried along, those named like a result are replaced.
+    a null is left out; other columns are carried along, those named like a result, in any case, are replaced.
     """
-    made = ["host", "path", "rule", "verdict"]
+    own = carried(pages, ["host", "path", "rule", "verdict"])
+    address = F.col(quoted(url))
     parsed = pages.select(
-        *[c for c in pages.columns if c not in made], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
+        *[F.col(quoted(c)).alias(name) for name, c in own.items()],
+        host_of(address).alias("host"), path_of(address).alias("path"),
     )
     addresses = parsed.select("host", "path").distinct()
     both = _questions(addresses).unionByName(_intervals(rules))
@@ -129,6 +133,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     told = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     return parsed.join(told, ["host", "path"], "left").select(
-        *[c for c in pages.columns if c not in made], "host", "path", "rule",
+        *[F.col(name).alias(c) for name, c in own.items()], "host", "path", "rule",
         F.coalesce("verdict", F.lit(default)).alias("verdict"),
     )
