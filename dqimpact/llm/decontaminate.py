@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dqimpact.llm.store import carried, quoted
+
 WINDOW = 10
 # Bytes of benchmark texts in a block; only a single longer text makes a larger one.
 BLOCK_BYTES = 4 << 20
@@ -286,15 +288,23 @@ def find_passages(
     for each item its longest verbatim match with its place in the document and in the item.  Defined
     results for odd rows: a null or empty text has no words and no hit; an item without words matches
     nothing; an item_id of null counts as an empty one; repeated documents are judged row by row and
-    repeated items are one in the lists of ids; other columns are carried along, those named like a result are
-    replaced.
+    repeated items are one in the lists of ids; other columns are carried along, those named like a result, in
+    any case, are replaced.  A text in a column named like a result is left out too.
     """
-    found, first = docs, True
+    own = carried(docs, MADE)
+    name = next((name for name, c in own.items() if c.lower() == text.lower()), "text")
+    keep_text = keep_text and name in own
+    found = docs.select(
+        *[F.col(quoted(c)).alias(plain) for plain, c in own.items()],
+        *([] if name in own else [F.col(quoted(text)).alias(name)]),
+    )
+    first = True
     blocks = _blocks(benchmark, block_bytes)
     items = next(blocks)
     for later in blocks:
-        found, first, items = _with_block(found, text, items, first, ()), False, later
-    return _with_block(found, text, items, first, () if keep_text else (text,))
+        found, first, items = _with_block(found, name, items, first, ()), False, later
+    found = _with_block(found, name, items, first, () if keep_text else (name,))
+    return found.select(*[F.col(plain).alias(c) for plain, c in own.items() if keep_text or plain != name], *MADE)
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -306,7 +316,8 @@ def contamination(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with their own columns."""
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    apart = docs.select(*[F.col(c).alias(name) for c, name in own.items()])
-    judged = find_passages(apart, benchmark, own[text]).filter(F.size("hit_starts") == 0)
-    return judged.select(*[F.col(name).alias(c) for c, name in own.items()])
+    own = carried(docs, ())
+    apart = docs.select(*[F.col(quoted(c)).alias(name) for name, c in own.items()])
+    name = next(name for name, c in own.items() if c.lower() == text.lower())
+    judged = find_passages(apart, benchmark, name).filter(F.size("hit_starts") == 0)
+    return judged.select(*[F.col(name).alias(c) for name, c in own.items()])
