@@ -13,6 +13,7 @@ tokenizers of which this does not hold.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -58,6 +59,43 @@ _PLAIN = re.compile(r"(?!.*<\|)[!-&(-~à-öø-ÿ]+", re.S)
 _PIECES = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
 
 
+# What a tokenizer file says where words end at white space and are split in this way.
+WORDS_END_AT_SPACE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def words_end_at_space(path: str) -> bool:
+    """Whether the tokenizer file is one whose ids are those of its words, split as the word path splits them."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    same = all(told.get(part) == value for part, value in WORDS_END_AT_SPACE.items())
+    added = all(token["content"].startswith("<|") and " " not in token["content"] for token in told.get("added_tokens") or ())
+    return same and added and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+
+
 def _byte_characters() -> dict[int, str]:
     """Letters beyond ASCII as a byte-level model has them: a character for each byte of UTF-8.
 
@@ -87,7 +125,8 @@ def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list
     """A function from texts to their ids, for use inside one task.
 
     What it remembers are words as they stand in texts and the pieces that they are made of, so that a
-    word met for the first time mostly is put together from known pieces.
+    word met for the first time mostly is put together from known pieces.  Only tokenizers whose file tells
+    that their words end at white space are treated so; texts go to all others whole.
     """
     # A task has one core; threads of its own would only cost memory.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,7 +157,7 @@ def word_encoder(path: str, by_words: bool = True) -> Callable[[list[str]], list
         tokenizer = tokenizers.Tokenizer.from_file(path)
         model, as_bytes = tokenizer.model, _byte_characters()
         pieces, words = Remembered(of_piece), Remembered(of_word)
-        kept[path] = whole, encode
+        kept[path] = whole, encode if words_end_at_space(path) else whole
     whole, encode = kept[path]
     return encode if by_words else whole
 
@@ -133,7 +172,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_words: boo
     """shard, doc_id, start (inside the shard), n_tokens, token_ids; sorted by doc_id in every shard.
 
     Defined results for odd rows: a null or empty text has the end id alone; rows that share a doc_id
-    stand side by side, in the order of their texts; rows without doc_id come first.
+    stand side by side, in the order of their texts; rows without doc_id come first; further columns are left
+    out.
     """
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
