@@ -8,7 +8,9 @@ what the two outputs have in common at both ends is the frame.
 
 `reach` tells how many turns before it a turn's rendering may look at (None: all of them).  With a finite
 reach a conversation is cut into blocks, each rendered behind the turns it may look at, so that one very
-long conversation is spread over many tasks and no prefix grows beyond a block.
+long conversation is spread over many tasks and no prefix grows beyond a block.  The promise is held against the
+template: the last turn of every block that has more turns is rendered a second time behind no more than `reach`
+turns, and a span that differs stops the job.
 """
 
 from __future__ import annotations
@@ -90,6 +92,21 @@ def spans(turns: Sequence[Turn], behind: Sequence[Turn], template: Template) ->
         before = now
 
 
+class ReachError(ValueError):
+    """A template looks at more turns than it is said to."""
+
+
+def check_reach(turns: Sequence[Turn], behind: Sequence[Turn], template: Template, span: str) -> None:
+    """Hold the span of the last turn against a rendering behind `reach` turns only."""
+    earlier = [*behind, *turns[:-1]]
+    if template.reach is None or len(earlier) <= template.reach:
+        return
+    near = earlier[len(earlier) - template.reach :]
+    alone = next(spans(turns[-1:], near, template))[0]
+    if alone != span:
+        raise ReachError(f"the rendering of a turn depends on more than the {template.reach} turns before it")
+
+
 SCHEMA = "conv_id long, block long, place long, span string, text_start long, text_end long, trained boolean, rewrites boolean"
 
 
@@ -99,7 +116,8 @@ def format_conversations(conversations: DataFrame, template: Template = Template
     The text under the mask is span[text_start:text_end] where `trained` is true; `rewrites` tells that
     the template changed earlier output when this turn came.  Defined results for odd rows: a null role
     or text is empty; turns are ordered by turn, role and text, a null turn first; repeated rows are turns
-    of their own; rows without conv_id form one conversation; further columns are left out.
+    of their own; rows without conv_id form one conversation; further columns are left out.  A template that
+    looks at more turns than its reach ends the job with a ReachError, as far as a block has more turns.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -134,6 +152,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
                     if len(made) >= 2_000:
                         yield _batch(made)
                         made = []
+                check_reach(chain, behind, template, span)
         if made:
             yield _batch(made)
 
