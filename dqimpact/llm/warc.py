@@ -17,6 +17,7 @@ LINE = "\r\n"
 # The alphabet of base 32, and the lines of a record of this format that never change.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = "WARC/1.1"
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -75,6 +76,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
         _header("WARC-Target-URI", _one_line(F.col("url"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("sha1")))),
         _header("WARC-Refers-To", refers),
+        _header("WARC-Profile", F.when(~answer, F.lit(SAME_PAYLOAD))),
         _header("Content-Type", F.lit("text/html; charset=utf-8")),
         _header("Content-Length", F.when(answer, F.col("bytes")).otherwise(0).cast("string")),
         F.lit(LINE),
