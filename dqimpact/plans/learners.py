@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from dqimpact.operators.inject import DUPLICATE, ERROR_NAMES, LABELS, Key, duplicate, inject, wrong_labels
 from dqimpact.operators.neighbours import neighbour_counts
-from dqimpact.plans.boosting import fit_adaboost
 from dqimpact.plans.importance import REPEATS, label_importance
+from dqimpact.plans.stumps import fit_stumps, stump_counts, test_rows, training_rows
 from dqimpact.plans.sweep import Cell, Task, cell_labels, decision_counts, score_counts
 from dqimpact.session import shared_folder
 from dqimpact.sources.config import FeatureSpec
@@ -131,9 +131,9 @@ def _decision(code: str) -> Column:
 
 
 def _counts_of_models(
-    rows: DataFrame, test: DataFrame, spec: FeatureSpec, models: Sequence[tuple[int, str]]
-) -> DataFrame:
-    """Decision counts of all models (number, code) fitted on one table."""
+    rows: DataFrame, test: DataFrame, spec: FeatureSpec, models: Sequence[tuple[int, str]], boosted: str
+) -> DataFrame | None:
+    """Decision counts of all models (number, code) fitted on one table; rows of boosted ones go to the folder `boosted`."""
     rows = prepared(rows, spec).persist()
     shaped = Pipeline(stages=design_stages(spec)).fit(rows)
     design = shaped.transform(rows).select("design", "y")
@@ -147,13 +147,15 @@ def _counts_of_models(
             voted = neighbour_counts(_vectors(design), _vectors(seen), width)
             found = voted.groupBy(name, "decision").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         elif code == "ada":
-            found = decision_counts(fit_adaboost(design).decide(seen).select(name, "y", "decision"))
+            training_rows(design, rows.count()).write.parquet(f"{boosted}/train/table={number}")
+            test_rows(seen).write.parquet(f"{boosted}/test/table={number}")
+            continue
         else:
             fitted = learner(code, width).fit(design)
             found = decision_counts(fitted.transform(seen).select(name, "y", _decision(code).alias("decision")))
         counts.append(found)
     rows.unpersist()
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, counts) if counts else None
 
 
 def _vectors(design: DataFrame) -> DataFrame:
@@ -167,7 +169,8 @@ def ml_sweep(
     """Result rows of every (error, feature, level, model), the clean table included.
 
     Each damaged table is fitted and scored on its own, several at a time, and leaves the counts of its
-    decisions in the shared folder; one pass over these counts scores all cells.
+    decisions in the shared folder; boosted stumps of all tables grow together once the tables are made.
+    One pass over the counts scores all cells.
     """
     tables = [(models, Cell(NO_ERROR, 0.0, NO_ERROR, ""), lambda: train)] if models else []
     for task in tasks:
@@ -182,15 +185,22 @@ def ml_sweep(
         cells += [replace(cell, code=code) for code in codes]
 
     spark, clean_test = train.sparkSession, prepared(test, spec)
-    path = shared_folder(spark, "decisions")
+    path, boosted = shared_folder(spark, "decisions"), shared_folder(spark, "boosted")
 
     def work(place: int) -> None:
         codes, made = numbered[place]
-        _counts_of_models(made(), clean_test, spec, codes).write.parquet(f"{path}/table={place}")
+        counts = _counts_of_models(made(), clean_test, spec, codes, boosted)
+        if counts is not None:
+            counts.write.parquet(f"{path}/table={place}")
 
     # Jobs of several threads share the executors, as in a cross-validation.
     with ThreadPoolExecutor(PARALLEL) as pool:
         list(pool.map(inheritable_thread_target(spark)(work), range(len(numbered))))
+    if any(cell.code == "ada" for cell in cells):
+        train_rows = spark.read.schema("x array<double>, y double, n double, s double, table int").parquet(f"{boosted}/train")
+        asked = spark.read.schema("x array<double>, pos double, neg double, table int").parquet(f"{boosted}/test")
+        told = stump_counts(fit_stumps(train_rows), asked)
+        told.withColumnRenamed("table", "model").write.parquet(f"{path}/table={len(numbered)}")
     counts = spark.read.schema("model int, decision double, pos long, neg long").parquet(path)
     unscored = [i for i, cell in enumerate(cells) if cell.code in WITHOUT_SCORE]
     return score_counts(counts, cell_labels(test, dataset, cells, NAMES), unscored)

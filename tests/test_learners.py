@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from dqimpact.operators import neighbours
-from dqimpact.plans import importance, learners
+from dqimpact.plans import importance, learners, stumps
 from dqimpact.plans.boosting import fit_adaboost
 from dqimpact.queries import sweeps
 from dqimpact.queries.correlation import labelled_documents
@@ -76,6 +76,38 @@ def test_adaboost_ends_early(spark):
     assert len(made.trees) == 1 and made.decide(hopeless).filter("decision is null").count() == 0
 
 
+def test_stumps_of_many_tables_are_those_of_adaboost(spark):
+    rng = np.random.default_rng(6)
+    made, asked, wanted = [], [], {}
+    for table, rows in enumerate((900, 40, 25)):
+        # Many values, few, zeros among others, and copies.
+        x = np.column_stack([rng.lognormal(size=rows).round(2), rng.integers(-2, 3, rows), rng.random(rows) < 0.2]).astype(float)
+        x[: rows // 3] = x[0]
+        y = (x[:, 0] + x[:, 1] + rng.normal(size=rows) > 1).astype(float)
+        frame = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+        design = _design(frame, "a", "b", "c").select("design", "y")
+        made.append(stumps.training_rows(design, rows).withColumn("table", F.lit(table)))
+        asked.append(stumps.test_rows(design).withColumn("table", F.lit(table)))
+        told = fit_adaboost(design, rounds=9).decide(design)
+        wanted[table] = {(round(r["decision"], 9), r["pos"], r["neg"]) for r in learners.decision_counts(told.withColumn("model", F.lit(table))).collect()}
+    fitted = stumps.fit_stumps(made[0].unionByName(made[1]).unionByName(made[2]), rounds=9)
+    got = {table: set() for table in wanted}
+    for r in stumps.stump_counts(fitted, asked[0].unionByName(asked[1]).unionByName(asked[2])).collect():
+        got[r["table"]].add((round(r["decision"], 9), r["pos"], r["neg"]))
+    assert got == wanted
+
+
+def test_a_sweep_of_stumps_has_a_pass_for_each_round(spark, folder, monkeypatch):
+    """Not one for each round of each table."""
+    passes = []
+    grown = stumps._round
+    monkeypatch.setattr(stumps, "_round", lambda *a: passes.append(1) or grown(*a))
+    train, test = sweeps._halves(spark, folder)
+    tasks = [learners.Task(t.error, t.feature, t.role, t.levels[::3], t.models) for t in sweeps._learner_tasks(("ada",))[1:4:2]]
+    assert len(learners.ml_sweep(train, test, sweeps.TEXT_SPEC, tasks, "doc_id", "documents", ("ada",)).collect()) == 5
+    assert 0 < len(passes) <= 50
+
+
 def _vectors(spark, x, y):
     rows = [(i, [float(v) for v in row], int(label)) for i, (row, label) in enumerate(zip(x, y, strict=True))]
     return spark.createDataFrame(rows, "n int, vector array<double>, y int")
