@@ -186,6 +186,8 @@ class _Booster:
 def _round(blocks: DataFrame, growing: dict[int, _Booster]) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
     """Of each table: the bounds of this round, and rows and weights of both classes by feature and bin."""
     known = {table: (booster.bounds(), booster.stumps) for table, booster in growing.items()}
+    # A sample may weigh more than expected, and then has bounds beyond `BINS`.
+    most = 1 + max(len(cuts) for bounds, _ in known.values() for cuts in bounds)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -194,12 +196,12 @@ def _round(blocks: DataFrame, growing: dict[int, _Booster]) -> Iterator[tuple[in
                 if table not in known:
                     continue
                 bounds, stumps = known[table]
-                sums = held.setdefault(table, np.zeros((len(bounds), 3, BINS)))
+                sums = held.setdefault(table, np.zeros((len(bounds), 3, most)))
                 weight = weights(stumps, x, y) * n
                 for feature, cuts in enumerate(bounds):
                     places = np.searchsorted(cuts, x[feature])
                     for row, mass in enumerate((n, weight * (y == 0), weight * (y == 1))):
-                        sums[feature, row] += np.bincount(places, mass, BINS)
+                        sums[feature, row] += np.bincount(places, mass, most)
         if held:
             packed = [sums.tobytes() for sums in held.values()]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(packed, pa.binary())], names=["table", "sums"])
@@ -207,7 +209,7 @@ def _round(blocks: DataFrame, growing: dict[int, _Booster]) -> Iterator[tuple[in
     found: dict[int, np.ndarray] = {}
     for row in blocks.mapInArrow(add_up, "table int, sums binary").collect():
         bounds = known[row["table"]][0]
-        sums = np.frombuffer(row["sums"]).reshape(len(bounds), 3, BINS)
+        sums = np.frombuffer(row["sums"]).reshape(len(bounds), 3, most)
         found[row["table"]] = found[row["table"]] + sums if row["table"] in found else sums
     for table, sums in found.items():
         bounds = known[table][0]

@@ -97,6 +97,13 @@ def test_stumps_of_many_tables_are_those_of_adaboost(spark):
     assert got == wanted
 
 
+def test_stumps_of_sampled_rows_may_have_more_bounds(spark, monkeypatch):
+    frame = spark.createDataFrame([(float(i), float(i % 7 > 2 or i > 60)) for i in range(100)], "a double, y double")
+    rows = stumps.training_rows(_design(frame, "a"), 100).withColumn("table", F.lit(3))
+    monkeypatch.setattr(stumps._Booster, "bounds", lambda self: [np.arange(50) + 0.5])
+    assert len(stumps.fit_stumps(rows, rounds=2)[3][0]) == 2
+
+
 def test_a_sweep_of_stumps_has_a_pass_for_each_round(spark, folder, monkeypatch):
     """Not one for each round of each table."""
     passes = []
