@@ -4,12 +4,12 @@ Equal vectors fall together first, with the number of rows of each class, so no
 made.  All vectors are placed along a few random directions; along each one the training vectors are cut
 into buckets of equally many, and a test vector meets those of its own bucket and of the two beside it.
 So the number of candidates of a test vector is fixed, whatever the distribution.  Candidates are ordered
-by their exact distance.
+by their exact distance, and of each bucket only the nearest go on.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +28,7 @@ def _dot(vector: str, direction: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(vector, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
 
 
-def _distance(a: str, b: str) -> Column:
+def _distance(a: str, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
@@ -42,19 +42,26 @@ def distinct_vectors(rows: DataFrame, vector: str = "vector", label: str = "y")
     return counted.select(F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")).alias("id"), "*")
 
 
-def _candidates(train: DataFrame, test: DataFrame, direction: np.ndarray, bucket: int) -> DataFrame:
-    """Pairs (test_id, id, distance, pos, neg) whose places along one direction are close."""
+def _candidates(train: DataFrame, test: DataFrame, directions: Sequence[np.ndarray], k: int, bucket: int) -> DataFrame:
+    """(test_id, near): for each bucket that a test vector meets, the k nearest (distance, id, pos, neg) in it.
+
+    A bucket is one row with its training vectors, at most `bucket`, so no pair is ever a row of its own.
+    """
     one = train.select("id", "vector", "pos", "neg", F.lit(1).cast("long").alias("counts"))
     other = test.select("id", "vector", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("neg"), F.lit(0).cast("long").alias("counts"))
-    along = one.unionByName(other).withColumn("at", _dot("vector", direction))
-    placed = running_totals(along, [], ["at", "id", "counts"], {"place": F.col("counts")})
+    places = F.array(*[_dot("vector", direction) for direction in directions])
+    along = one.unionByName(other).select("*", F.posexplode(places).alias("direction", "at"))
+    placed = running_totals(along, ["direction"], ["at", "id", "counts"], {"place": F.col("counts")})
     placed = placed.withColumn("bucket", F.floor(F.col("place") / bucket))
-    near = F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])
+    around = F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])
     asked = placed.filter("counts = 0").select(
-        F.col("id").alias("test_id"), F.col("vector").alias("asked"), F.explode(near).alias("bucket")
+        F.col("id").alias("test_id"), F.col("vector").alias("asked"), "direction", F.explode(around).alias("bucket")
     )
-    held = placed.filter("counts = 1").select("id", "vector", "pos", "neg", "bucket")
-    return asked.join(held, "bucket").select("test_id", "id", _distance("asked", "vector").alias("distance"), "pos", "neg")
+    held = placed.filter("counts = 1").groupBy("direction", "bucket").agg(
+        F.collect_list(F.struct("id", "vector", "pos", "neg")).alias("held")
+    )
+    met = F.transform("held", lambda h: F.struct(_distance("asked", h["vector"]).alias("distance"), h["id"].alias("id"), h["pos"].alias("pos"), h["neg"].alias("neg")))
+    return asked.join(held, ["direction", "bucket"]).select("test_id", F.slice(F.array_sort(met), 1, k).alias("near"))
 
 
 def nearest(
@@ -67,17 +74,14 @@ def nearest(
     the k; of the last one it may be a part.  Vectors at equal distance are taken in the order of their ids.
     """
     rng = np.random.default_rng(seed)
-    parts = [_candidates(train, test, rng.normal(size=width), bucket) for _ in range(directions)]
-    pairs = reduce(DataFrame.unionByName, parts).groupBy("test_id", "id").agg(
-        *[F.first(c).alias(c) for c in ("distance", "pos", "neg")]
-    )
-    order = Window.partitionBy("test_id").orderBy("distance", "id")
-    # A vector has a row at least, so k vectors are enough.
-    best = pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = _candidates(train, test, [rng.normal(size=width) for _ in range(directions)], k, bucket)
+    # A vector has a row at least, so k vectors are enough, of each bucket and of all.
+    near = F.array_distinct(F.flatten(F.collect_list("near")))
+    best = found.groupBy("test_id").agg(F.slice(F.array_sort(near), 1, k).alias("near")).select("test_id", F.inline("near"))
+    before = Window.partitionBy("test_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = F.col("pos") + F.col("neg")
     taken = F.least(rows, k - F.coalesce(F.sum(rows).over(before), F.lit(0)))
-    return best.withColumn("taken", taken).filter("taken > 0")
+    return best.select("test_id", "id", "distance", "pos", "neg", taken.alias("taken")).filter("taken > 0")
 
 
 def neighbour_counts(train: DataFrame, test: DataFrame, width: int, k: int = NEIGHBOURS, **options) -> DataFrame:

@@ -167,6 +167,31 @@ def test_recall_of_neighbours(spark):
     assert hits / (5 * asked.sum()) >= 0.9
 
 
+def test_candidates_are_cut_before_they_are_dealt(spark):
+    """A row for each bucket that a test vector meets, not one for each pair in it."""
+    whole = _vectors(spark, np.arange(1_000.0)[:, None], np.zeros(1_000)).withColumn("id", F.col("n").cast("string"))
+    known = whole.filter("n % 10 > 0").select("id", "vector", F.lit(1).alias("pos"), F.lit(0).alias("neg"))
+    asked = whole.filter("n % 10 = 0").select("id", "vector")
+    found = neighbours._candidates(known, asked, [np.ones(1), -np.ones(1)], 5, 64).collect()
+    assert len(found) <= 100 * 2 * 3 and all(len(r["near"]) <= 5 for r in found)
+
+
+def test_few_rows_are_fitted_in_few_tasks(spark, folder, monkeypatch):
+    """Every iteration of a learner is a job of as many tasks as its table has partitions."""
+    tasks = []
+
+    class Counted:
+        def fit(self, design):
+            tasks.append(design.rdd.getNumPartitions())
+            return learners.LogisticRegression(featuresCol="design", labelCol="y", maxIter=1).fit(design)
+
+    monkeypatch.setattr(learners, "learner", lambda *_: Counted())
+    train, test = sweeps._halves(spark, folder)
+    rows = train.repartition(7)
+    assert learners._counts_of_models(rows, learners.prepared(test, sweeps.TEXT_SPEC), sweeps.TEXT_SPEC, [(0, "svm")], "").count()
+    assert tasks == [1]
+
+
 def test_neighbours_of_nothing(spark):
     some = _vectors(spark, [[1.0], [2.0]], [1, 0])
     none = some.filter("false")
