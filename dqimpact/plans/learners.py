@@ -121,6 +121,8 @@ def _damaged(train: DataFrame, spec: FeatureSpec, task: Task, share: float, key:
 WITHOUT_SCORE = {"svm"}
 # Damaged tables that are worked on at the same time; each of their jobs is spread over the cluster.
 PARALLEL = 8
+# Rows of a damaged table that one task of an iteration gets.
+TASK_ROWS = 50_000
 
 
 def _decision(code: str) -> Column:
@@ -135,8 +137,11 @@ def _counts_of_models(
 ) -> DataFrame | None:
     """Decision counts of all models (number, code) fitted on one table; rows of boosted ones go to the folder `boosted`."""
     rows = prepared(rows, spec).persist()
+    total = rows.count()
     shaped = Pipeline(stages=design_stages(spec)).fit(rows)
     design = shaped.transform(rows).select("design", "y")
+    # An iteration is a job, so that few rows are better in few tasks.
+    few = design.coalesce(max(1, -(-total // TASK_ROWS))).persist()
     seen = shaped.transform(test).select("design", "y")
     first = design.first()
     width = first["design"].size if first else 1
@@ -147,13 +152,15 @@ def _counts_of_models(
             voted = neighbour_counts(_vectors(design), _vectors(seen), width)
             found = voted.groupBy(name, "decision").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         elif code == "ada":
-            training_rows(design, rows.count()).write.parquet(f"{boosted}/train/table={number}")
+            training_rows(design, total).write.parquet(f"{boosted}/train/table={number}")
             test_rows(seen).write.parquet(f"{boosted}/test/table={number}")
             continue
         else:
-            fitted = learner(code, width).fit(design)
+            # The draws of a forest go by its partitions, and it has few jobs.
+            fitted = learner(code, width).fit(design if code == "rf" else few)
             found = decision_counts(fitted.transform(seen).select(name, "y", _decision(code).alias("decision")))
         counts.append(found)
+    few.unpersist()
     rows.unpersist()
     return reduce(DataFrame.unionByName, counts) if counts else None
 
@@ -184,7 +191,7 @@ def ml_sweep(
         numbered.append(([(len(cells) + i, code) for i, code in enumerate(codes)], made))
         cells += [replace(cell, code=code) for code in codes]
 
-    spark, clean_test = train.sparkSession, prepared(test, spec)
+    spark, clean_test = train.sparkSession, prepared(test, spec).persist()
     path, boosted = shared_folder(spark, "decisions"), shared_folder(spark, "boosted")
 
     def work(place: int) -> None:
@@ -201,6 +208,7 @@ def ml_sweep(
         asked = spark.read.schema("x array<double>, pos double, neg double, table int").parquet(f"{boosted}/test")
         told = stump_counts(fit_stumps(train_rows), asked)
         told.withColumnRenamed("table", "model").write.parquet(f"{path}/table={len(numbered)}")
+    clean_test.unpersist()
     counts = spark.read.schema("model int, decision double, pos long, neg long").parquet(path)
     unscored = [i for i, cell in enumerate(cells) if cell.code in WITHOUT_SCORE]
     return score_counts(counts, cell_labels(test, dataset, cells, NAMES), unscored)
