@@ -36,7 +36,7 @@ BIGRAM_BITS = 64
 # Words after which a chunk ends with the document that it is in.
 CHUNK = 1 << 20
 
-_CHUNKS = "chunk long, doc_ids binary, unnamed binary, lengths binary, words binary, places binary"
+_CHUNKS = "chunk long, doc_ids binary, unnamed binary, lengths binary, words binary, times binary, places binary"
 _ASKED = "part int, chunk long, n_keys long, keys binary, n binary, n_target binary"
 _ANSWERS = "chunk long, part int, n binary, n_target binary, kept long"
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -50,24 +50,38 @@ class Smoothing:
     added: float = 0.5
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """All first bytes, then all second ones: the highest are nearly all zero."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _of_planes(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as the largest needs; the first byte is the width."""
     top = int(values.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + zlib.compress(_planes(values, width), 6)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    return _of_planes(zlib.decompress(data[1:]), data[0]).astype(np.int64)
 
 
 def _keyed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, all first bytes first: the highest are nearly all zero."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as the bytes of their differences."""
+    return zlib.compress(_planes(np.diff(keys, prepend=np.uint64(0)), 8), 1)
 
 
 def _keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_of_planes(zlib.decompress(data), 8), dtype=np.uint64)
+
+
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    """Places of words in the order of how often they stand in the chunk, so that most words get a small number."""
+    return np.argsort(-times, kind="stable")
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -87,14 +101,17 @@ def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     held = 0
 
     def chunk() -> pa.RecordBatch:
-        words, places = np.unique(np.concatenate(texts), return_inverse=True)
+        words, places, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        numbers = np.empty(len(words), np.int64)
+        numbers[_by_frequency(times)] = np.arange(len(words))
         row = (
             secrets.randbits(63),
             np.array([i or 0 for i in ids], "<i8").tobytes(),
             np.array([i is None for i in ids], np.uint8).tobytes(),
             np.array([len(t) for t in texts], "<i8").tobytes(),
             _keyed(words),
-            _packed(places),
+            _packed(times),
+            _packed(numbers[places]),
         )
         return _batch(_CHUNKS, [row])
 
@@ -119,7 +136,8 @@ class _Chunk:
         self.unnamed = np.frombuffer(row["unnamed"], np.uint8).astype(bool)
         self.lengths = np.frombuffer(row["lengths"], "<i8")
         self.words = _keys(row["words"])
-        self.places = _unpacked(row["places"])
+        self.times = _unpacked(row["times"])
+        self.places = _by_frequency(self.times)[_unpacked(row["places"])]
 
     def lines(self, known: np.ndarray) -> np.ndarray:
         """The keys of all words, with a start and an end about each text."""
@@ -239,8 +257,7 @@ def score_documents(
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row)
-                n = np.bincount(chunk.places, minlength=len(chunk.words))
-                yield from _sent(chunk, chunk.words, n, np.zeros_like(n), ranges)
+                yield from _sent(chunk, chunk.words, chunk.times, np.zeros_like(chunk.times), ranges)
 
     words = stored(_answered(chunks.mapInArrow(ask_words, _ASKED), ranges, least), "words")
     vocabulary = words.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -352,3 +355,17 @@ def test_mixing_tells_of_targets_out_of_reach(spark):
     with pytest.warns(UserWarning, match="missed"):
         got = mixing.with_rates(rows, {"clean": 0.9, "junk": 0.1}).collect()
     assert all(r["missed"] == pytest.approx(0.4) for r in got)
+
+
+def test_lm_score_chunks_hold_frequent_words_in_few_bytes():
+    rng = np.random.default_rng(2)
+    drawn = rng.zipf(1.3, 60_000) % 20_000
+    texts = [" ".join(f"w{i}" for i in part) for part in np.split(drawn, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (made,) = lm_score._chunked(iter([batch]), 1 << 20)
+    (row,) = made.to_pylist()
+    chunk = lm_score._Chunk(row)
+    wanted = [xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in drawn]
+    assert chunk.words[chunk.places].tolist() == wanted and chunk.times.tolist() == np.bincount(chunk.places).tolist()
+    plain = zlib.compress(chunk.places.astype("<u2").tobytes(), 1)
+    assert len(row["places"]) + len(row["times"]) < 0.9 * len(plain)
