@@ -176,6 +176,79 @@ def test_candidates_are_cut_before_they_are_dealt(spark):
     assert len(found) <= 100 * 2 * 3 and all(len(r["near"]) <= 5 for r in found)
 
 
+def _nearest_rows(known, vectors, point, k):
+    """(id, distance, taken) by comparing a point with every vector, sums in the order of columns."""
+    apart = np.zeros(len(vectors))
+    for j in range(vectors.shape[1]):
+        apart += (point[j] - vectors[:, j]) * (point[j] - vectors[:, j])
+    found, left = [], k
+    for i in sorted(range(len(known)), key=lambda i: (apart[i], known[i]["id"])):
+        take = min(left, known[i]["pos"] + known[i]["neg"])
+        found += [(known[i]["id"], apart[i], take)] if take else []
+        left -= take
+    return found
+
+
+def _spread_rows(kind: str) -> np.ndarray:
+    rng = np.random.default_rng(11)
+    if kind == "mixed":
+        return np.column_stack([rng.lognormal(size=2_500) * 3, rng.integers(0, 3, (2_500, 2)), rng.normal(size=(2_500, 4))])
+    if kind == "ties":  # few values, so that many vectors are equally far and many rows are copies
+        return rng.integers(0, 5, (2_500, 5)).astype(float)
+    # Near ones whose other columns differ in sign are far apart along most directions.
+    return np.where(rng.random((2_500, 40)) < 0.05, 1.0, 0.0) + np.round(rng.normal(size=(2_500, 40)), 2)
+
+
+@pytest.mark.parametrize(
+    ("kind", "options"), [("mixed", {}), ("wide", {}), ("mixed", {"directions": 1, "bucket": 2}), ("ties", {"directions": 1, "bucket": 2})]
+)
+def test_neighbours_are_exact(spark, monkeypatch, kind, options):
+    """Ids, distances and rows are those of all pairs, whatever the buckets miss; cells and slots are small."""
+    monkeypatch.setattr(neighbours, "CELL", 40, raising=False)
+    monkeypatch.setattr(neighbours, "SLOT", 30, raising=False)
+    x = _spread_rows(kind)
+    whole = _vectors(spark, x, np.arange(len(x)) % 3 == 0)
+    train = neighbours.distinct_vectors(whole.filter("n % 10 > 0")).persist()
+    test = neighbours.distinct_vectors(whole.filter("n % 10 = 0")).persist()
+    got: dict[str, list] = {}
+    for r in neighbours.nearest(train, test.select("id", "vector"), x.shape[1], **options).collect():
+        got.setdefault(r["test_id"], []).append((r["id"], r["distance"], r["taken"]))
+    known = train.collect()
+    vectors = np.array([r["vector"] for r in known])
+    asked = test.collect()
+    assert len(got) == len(asked)
+    for r in asked:
+        assert sorted(got[r["id"]], key=lambda n: (n[1], n[0])) == _nearest_rows(known, vectors, r["vector"], 5)
+
+
+def test_neighbours_of_few_rows_and_of_several_tables(spark):
+    """A table with fewer rows than are asked gives all of them, and none to another table."""
+    rows = [(0, float(i), 0) for i in range(3)] + [(1, float(i), 1) for i in range(200)]
+    train = spark.createDataFrame(rows, "table int, v double, y int").select("table", F.array("v").alias("vector"), "y")
+    test = spark.createDataFrame([(0, 1.2), (1, 1.2), (2, 1.2)], "table int, v double").select("table", F.array("v").alias("vector"), F.lit(1).alias("y"))
+    known, asked = neighbours.distinct_vectors(train), neighbours.distinct_vectors(test)
+    got: dict[int, set] = {}
+    for r in neighbours.nearest(known, asked, 1).collect():
+        got.setdefault(r["table"], set()).add(round(r["distance"], 6))
+    assert got == {0: {0.04, 0.64, 1.44}, 1: {0.04, 0.64, 1.44, 3.24, 7.84}}
+    decisions = {r["table"]: r["decision"] for r in neighbours.neighbour_counts(train, test, 1).collect()}
+    assert decisions == {0: -0.5, 1: 0.5, 2: 0.0}
+
+
+def test_neighbours_without_a_number(spark):
+    """A distance that is no number is farther than all others, and leaves none of them out."""
+    nan, inf = math.nan, math.inf
+    known = [(f"k{i:03}", [float(i), float(i % 7)], 1, 0) for i in range(100)] + [("k900", [nan, 1.0], 1, 0), ("k901", [inf, 1.0], 1, 0)]
+    train = spark.createDataFrame(known, "id string, vector array<double>, pos long, neg long")
+    test = spark.createDataFrame([("a", [50.0, 1.0]), ("b", [nan, 1.0]), ("c", [-inf, 1.0])], "id string, vector array<double>")
+    got: dict[str, list] = {}
+    for r in sorted(neighbours.nearest(train, test, 2, directions=1, bucket=2).collect(), key=lambda r: (r["distance"], r["id"])):
+        got.setdefault(r["test_id"], []).append(r["id"])
+    assert got["a"] == ["k050", "k049", "k051", "k052", "k053"]
+    first = [k[0] for k in known[:5]]
+    assert got["b"] == first and sorted(got["c"]) == first
+
+
 def test_few_rows_are_fitted_in_few_tasks(spark, folder, monkeypatch):
     """Every iteration of a learner is a job of as many tasks as its table has partitions."""
     tasks = []
