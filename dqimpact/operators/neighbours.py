@@ -25,7 +25,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dqimpact.operators.running import running_totals
@@ -97,7 +97,7 @@ def _candidates(train: DataFrame, test: DataFrame, directions: Sequence[np.ndarr
 
 
 def _reaches(found: DataFrame, test: DataFrame, k: int) -> DataFrame:
-    """table, id, vector, reach of the test vectors: the distance within which the candidates have k rows."""
+    """The test vectors with their reach: the distance within which the candidates have k rows."""
     by = _tables(test)
     # A vector has a row at least, so k vectors are enough, of each bucket and of all.
     near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
@@ -110,9 +110,8 @@ def _reaches(found: DataFrame, test: DataFrame, k: int) -> DataFrame:
     reach = F.aggregate(near, none, farther, lambda end: F.when(end["rows"] >= k, end["reach"]))
     known = found.groupBy(*by, F.col("test_id").alias("id")).agg(reach.alias("reach"))
     # Too few candidates bound nothing.
-    return test.join(known, [*by, "id"], "left").select(
-        _table(test), "id", "vector", F.coalesce("reach", F.lit(math.inf)).alias("reach")
-    )
+    joined = test.join(known, [*by, "id"], "left")
+    return joined.select(*test.columns, F.coalesce("reach", F.lit(math.inf)).alias("reach"))
 
 
 def _table(rows: DataFrame) -> Column:
@@ -262,7 +261,8 @@ def _within_reach(train: DataFrame, reached: DataFrame, width: int, k: int) -> D
     """table, test_id, distance, id, pos, neg: of every cell within reach of a test vector, its k nearest in there."""
     axes = min(width, AXES)
     placed, boxes = _cells(train, axes)
-    routed = durable(reached.select("table", "id", "vector", "reach").mapInArrow(_router(boxes, axes), _ROUTED))
+    asked = reached.select(_table(reached), "id", "vector", "reach")
+    routed = durable(asked.mapInArrow(_router(boxes, axes), _ROUTED))
     slots, first = [], 0
     for r in routed.groupBy("cell").count().collect():
         parts = -(-r["count"] // SLOT)
@@ -282,19 +282,20 @@ def _within_reach(train: DataFrame, reached: DataFrame, width: int, k: int) -> D
     return sorted_rows.mapInArrow(_searcher(k), _FOUND)
 
 
-def nearest(
+def with_reach(
     train: DataFrame, test: DataFrame, width: int, k: int = NEIGHBOURS, directions: int = DIRECTIONS,
     bucket: int = BUCKET, seed: int = 42,
 ) -> DataFrame:
-    """test_id, id, distance, pos, neg, taken: for each distinct test vector the vectors of its k nearest rows.
-
-    Both sides are results of `distinct_vectors`.  `taken` is the number of rows that a vector gives to
-    the k; of the last one it may be a part.  Vectors at equal distance are taken in the order of their ids.
-    Nothing is left out: `directions` and `bucket` tell only how soon the search is narrow.
-    """
-    rng, by = np.random.default_rng(seed), _tables(train)
+    """The test vectors and `reach`, a distance within which there are k training rows, if there are as many."""
+    rng = np.random.default_rng(seed)
     found = _candidates(train, test, [rng.normal(size=width) for _ in range(directions)], k, bucket)
-    whole = _within_reach(train, _reaches(found, test, k), width, k)
+    return _reaches(found, test, k)
+
+
+def nearest_within(train: DataFrame, reached: DataFrame, width: int, k: int = NEIGHBOURS) -> DataFrame:
+    """What `nearest` returns, for test vectors whose reach is known."""
+    by = _tables(train)
+    whole = _within_reach(train, reached, width, k)
     near = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", "pos", "neg"))), 1, k)
     best = whole.groupBy(*by, "test_id").agg(near.alias("near")).select(*by, "test_id", F.inline("near"))
     before = Window.partitionBy(*by, "test_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -303,18 +304,53 @@ def nearest(
     return best.select(*by, "test_id", "id", "distance", "pos", "neg", taken.alias("taken")).filter("taken > 0")
 
 
-def neighbour_counts(train: DataFrame, test: DataFrame, width: int, k: int = NEIGHBOURS, **options) -> DataFrame:
-    """(decision, pos, neg) over distinct test vectors: the share of class 1 among the k nearest rows less a half.
+def nearest(train: DataFrame, test: DataFrame, width: int, k: int = NEIGHBOURS, **options) -> DataFrame:
+    """test_id, id, distance, pos, neg, taken: for each distinct test vector the vectors of its k nearest rows.
 
-    Both sides hold (vector, y), and `table` where there are several.  The rows of one vector vote together,
-    in proportion to their classes.
+    Both sides are results of `distinct_vectors`.  `taken` is the number of rows that a vector gives to
+    the k; of the last one it may be a part.  Vectors at equal distance are taken in the order of their ids.
+    Nothing is left out: the options of `with_reach` tell only how soon the search is narrow.
     """
-    by = _tables(train)
-    known, asked = durable(distinct_vectors(train)), durable(distinct_vectors(test))
-    found = nearest(known, asked.select(*by, "id", "vector"), width, k, **options)
+    return nearest_within(train, with_reach(train, test, width, k, **options), width, k)
+
+
+def voted(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(decision, pos, neg) over distinct test vectors: the share of class 1 among the k nearest rows less a half."""
+    by = _tables(asked)
     votes = found.groupBy(*by, F.col("test_id").alias("id")).agg(
         F.sum(F.col("taken") * F.col("pos") / (F.col("pos") + F.col("neg"))).alias("for"), F.sum("taken").alias("all")
     )
     joined = asked.join(votes, [*by, "id"], "left")
     # Without any training row there is no vote, and class 0 is told.
     return joined.select(*by, F.coalesce(F.col("for") / F.col("all") - 0.5, F.lit(0.0)).alias("decision"), "pos", "neg")
+
+
+def neighbour_counts(train: DataFrame, test: DataFrame, width: int, k: int = NEIGHBOURS, **options) -> DataFrame:
+    """What `voted` tells of test rows.  Both sides hold (vector, y), and `table` where there are several.
+
+    The rows of one vector vote together, in proportion to their classes.
+    """
+    known, asked = durable(distinct_vectors(train)), durable(distinct_vectors(test))
+    return voted(asked, nearest(known, asked.select(*_tables(asked), "id", "vector"), width, k, **options))
+
+
+_KNOWN = "id string, vector array<double>, pos long, neg long"
+
+
+def store_for_later(train: DataFrame, test: DataFrame, width: int, table: int, folder: str) -> None:
+    """Leave the vectors of one table in `folder`, those of test rows (vector, y) with their reach."""
+    spark, path = train.sparkSession, f"table={table}"
+    distinct_vectors(train).write.parquet(f"{folder}/known/{path}")
+    known, asked = spark.read.schema(_KNOWN).parquet(f"{folder}/known/{path}"), durable(distinct_vectors(test))
+    with_reach(known, asked, width).write.parquet(f"{folder}/asked/{path}")
+
+
+def counts_of_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, decision, pos, neg): what `neighbour_counts` tells of each table in `folder`, all searched at once."""
+    known = spark.read.schema(f"{_KNOWN}, table int").parquet(f"{folder}/known")
+    asked = spark.read.schema(f"{_KNOWN}, reach double, table int").parquet(f"{folder}/asked")
+    width = known.unionByName(asked.drop("reach")).agg(F.max(F.size("vector"))).first()[0] or 1
+    # A column more that is 0 on both sides changes no distance.
+    filled = F.concat("vector", F.array_repeat(F.lit(0.0), width - F.size("vector")))
+    known, asked = known.withColumn("vector", filled), asked.withColumn("vector", filled)
+    return voted(asked, nearest_within(known, asked, width))

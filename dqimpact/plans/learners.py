@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqimpact.operators.inject import DUPLICATE, ERROR_NAMES, LABELS, Key, duplicate, inject, wrong_labels
-from dqimpact.operators.neighbours import neighbour_counts
+from dqimpact.operators.neighbours import counts_of_stored, store_for_later
 from dqimpact.plans.importance import REPEATS, label_importance
 from dqimpact.plans.stumps import fit_stumps, stump_counts, test_rows, training_rows
 from dqimpact.plans.sweep import Cell, Task, cell_labels, decision_counts, score_counts
@@ -133,9 +133,12 @@ def _decision(code: str) -> Column:
 
 
 def _counts_of_models(
-    rows: DataFrame, test: DataFrame, spec: FeatureSpec, models: Sequence[tuple[int, str]], boosted: str
+    rows: DataFrame, test: DataFrame, spec: FeatureSpec, models: Sequence[tuple[int, str]], later: str
 ) -> DataFrame | None:
-    """Decision counts of all models (number, code) fitted on one table; rows of boosted ones go to the folder `boosted`."""
+    """Decision counts of all models (number, code) fitted on one table.
+
+    Rows of those that work on all tables at once go to the folder `later`.
+    """
     rows = prepared(rows, spec).persist()
     total = rows.count()
     shaped = Pipeline(stages=design_stages(spec)).fit(rows)
@@ -149,11 +152,11 @@ def _counts_of_models(
     for number, code in models:
         name = F.lit(number).alias("model")
         if code == "knn":
-            voted = neighbour_counts(_vectors(design), _vectors(seen), width)
-            found = voted.groupBy(name, "decision").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            store_for_later(_vectors(design), _vectors(seen), width, number, f"{later}/{code}")
+            continue
         elif code == "ada":
-            training_rows(design, total).write.parquet(f"{boosted}/train/table={number}")
-            test_rows(seen).write.parquet(f"{boosted}/test/table={number}")
+            training_rows(design, total).write.parquet(f"{later}/{code}/train/table={number}")
+            test_rows(seen).write.parquet(f"{later}/{code}/test/table={number}")
             continue
         else:
             # The draws of a forest go by its partitions, and it has few jobs.
@@ -176,7 +179,8 @@ def ml_sweep(
     """Result rows of every (error, feature, level, model), the clean table included.
 
     Each damaged table is fitted and scored on its own, several at a time, and leaves the counts of its
-    decisions in the shared folder; boosted stumps of all tables grow together once the tables are made.
+    decisions in the shared folder; boosted stumps of all tables grow together once the tables are made,
+    and the neighbours of all tables are searched together.
     One pass over the counts scores all cells.
     """
     tables = [(models, Cell(NO_ERROR, 0.0, NO_ERROR, ""), lambda: train)] if models else []
@@ -192,11 +196,11 @@ def ml_sweep(
         cells += [replace(cell, code=code) for code in codes]
 
     spark, clean_test = train.sparkSession, prepared(test, spec).persist()
-    path, boosted = shared_folder(spark, "decisions"), shared_folder(spark, "boosted")
+    path, later = shared_folder(spark, "decisions"), shared_folder(spark, "later")
 
     def work(place: int) -> None:
         codes, made = numbered[place]
-        counts = _counts_of_models(made(), clean_test, spec, codes, boosted)
+        counts = _counts_of_models(made(), clean_test, spec, codes, later)
         if counts is not None:
             counts.write.parquet(f"{path}/table={place}")
 
@@ -204,10 +208,13 @@ def ml_sweep(
     with ThreadPoolExecutor(PARALLEL) as pool:
         list(pool.map(inheritable_thread_target(spark)(work), range(len(numbered))))
     if any(cell.code == "ada" for cell in cells):
-        train_rows = spark.read.schema("x array<double>, y double, n double, s double, table int").parquet(f"{boosted}/train")
-        asked = spark.read.schema("x array<double>, pos double, neg double, table int").parquet(f"{boosted}/test")
+        train_rows = spark.read.schema("x array<double>, y double, n double, s double, table int").parquet(f"{later}/ada/train")
+        asked = spark.read.schema("x array<double>, pos double, neg double, table int").parquet(f"{later}/ada/test")
         told = stump_counts(fit_stumps(train_rows), asked)
         told.withColumnRenamed("table", "model").write.parquet(f"{path}/table={len(numbered)}")
+    if any(cell.code == "knn" for cell in cells):
+        told = counts_of_stored(spark, f"{later}/knn").groupBy(F.col("table").alias("model"), "decision")
+        told.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).write.parquet(f"{path}/table={len(numbered) + 1}")
     clean_test.unpersist()
     counts = spark.read.schema("model int, decision double, pos long, neg long").parquet(path)
     unscored = [i for i, cell in enumerate(cells) if cell.code in WITHOUT_SCORE]
