@@ -213,9 +213,10 @@ def test_neighbours_are_exact(spark, monkeypatch, kind, options):
     got: dict[str, list] = {}
     for r in neighbours.nearest(train, test.select("id", "vector"), x.shape[1], **options).collect():
         got.setdefault(r["test_id"], []).append((r["id"], r["distance"], r["taken"]))
-    known = train.collect()
+    known, asked = train.collect(), test.collect()
+    train.unpersist()
+    test.unpersist()
     vectors = np.array([r["vector"] for r in known])
-    asked = test.collect()
     assert len(got) == len(asked)
     for r in asked:
         assert sorted(got[r["id"]], key=lambda n: (n[1], n[0])) == _nearest_rows(known, vectors, r["vector"], 5)
